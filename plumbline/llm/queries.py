@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, packing, quality_classifier, quality_rules, sharding, token_counts
+from plumbline.llm import mixing, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from plumbline.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents")).verdicts()
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return quality_classifier.resample(docs, labels).verdicts()
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from plumbline.llm import mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from plumbline.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read_table(spark, sf_dir, "documents")).verdicts()
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return quality_classifier.resample(docs, labels).verdicts()
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,

@@ -7,12 +7,13 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from plumbline.llm.wordhash import BASES, BYTE_VALUES, ranges
+
 #: The pre-tokenizer's pattern of the byte-level vocabularies (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space after white space: there, a cut at spaces could split a run of white space.
-_RUN = re.compile(r"\s ")
 NONE = np.iinfo(np.int32).max
 
 
@@ -72,38 +73,144 @@ class RankMerger:
         return out
 
 
+_OTHER, _LETTER, _SIGN, _SPACE, _NEWLINE, _WHITE = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+for _range in ((65, 91), (97, 123)):
+    _KIND[slice(*_range)] = _LETTER
+_KIND[48:58] = _OTHER
+_KIND[[9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F]] = _WHITE
+_KIND[0x20], _KIND[0x0A] = _SPACE, _NEWLINE
+_PLAIN = np.zeros(256, bool)  # ASCII other than white space and control characters
+_PLAIN[0x21:0x7F] = True
+#: Bytes that can come second to last, and third to last, in white space beyond ASCII.
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0x80, 0x81, 0x9A]] = True
+
+
+def units(texts: pa.Array, added: Iterable[str] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts texts where the pre-tokenizer cuts whatever stands around.
+
+    Such places are before a space after no white space, between an ASCII letter and an
+    ASCII sign, and around a newline between plain ASCII characters. A text with white space
+    next to white space, or with an added token, is one unit. Returns start and end of all units, the first unit of
+    each text (and one more), which texts are one unit, and all bytes. Null is as empty.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = len(data)
+    whole = np.zeros(len(texts), bool)
+    cut = np.zeros(n + 1, bool)
+    if n > 1:
+        kind, plain = _KIND[data], _PLAIN[data]
+        white = kind >= _SPACE
+        spaces = np.flatnonzero(kind == _SPACE)
+        cut[spaces] = True
+        cut[1:n] |= (kind[1:] == _SIGN) & (kind[:-1] == _LETTER)
+        lines = np.flatnonzero(kind == _NEWLINE)
+        lines = lines[(lines > 0) & (lines < n - 1)]
+        lines = lines[plain[lines - 1] & plain[lines + 1]]
+        cut[lines] = cut[lines + 1] = True
+        double = np.flatnonzero(white[1:] & white[:-1]) + 1
+        beyond = spaces[(spaces > 1)]
+        beyond = beyond[(data[beyond - 1] > 0x7F) & _LEAD[data[beyond - 2]]]
+        there = [m.start() for a in added for m in re.finditer(re.escape(a.encode()), data)]
+        odd = np.concatenate([double, beyond, np.array(there, np.int64)])
+        whole[np.searchsorted(offsets, odd, side="right") - 1] = True
+        if whole.any():
+            size = np.diff(offsets)
+            cut[:n] &= ~np.repeat(whole, size)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    cut[offsets[some]] = True
+    cut[n] = False
+    start = np.flatnonzero(cut)
+    return start, np.append(start[1:], n), np.searchsorted(start, offsets), whole, data
+
+
 class Memo:
-    """Values of texts put together from remembered values of their parts.
+    """Values of texts put together from remembered values of their units.
 
-    A text without white space before a space is cut before each space: no piece of the
-    pre-tokenizer reaches over such a cut, nor does an added token. Other texts are one
-    part. The memo is only a cache: emptied at most entries, it never changes a value.
+    values_of gives, for unit strings, one array each. Units are known by a 64-bit hash of
+    their bytes, in an open-addressing table of numpy arrays. The memo is only a cache:
+    emptied when it holds most units, it never changes a value.
     """
 
-    def __init__(self, values_of: Callable[[list[str]], Iterable], most: int = 1 << 20):
-        self.values_of, self.most = values_of, most
-        self.first: dict[str, object] = {}  # parts at the beginning of a text
-        self.later: dict[str, object] = {}  # parts after a space, without it
-
-    def _learn(self, memo: dict, parts: set[str], prefix: str) -> None:
-        missing = list(parts.difference(memo))
-        if len(memo) + len(missing) > self.most:
-            memo.clear()
-            missing = list(parts)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            memo.update(zip(some, self.values_of([prefix + s for s in some]), strict=True))
-
-    def parts(self, texts: list[str | None]) -> list[list]:
-        """For each text, the values of its parts; none for null or empty text."""
-        cut = [[] if not t else [t] if _RUN.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        later: set[str] = set()
-        for c in cut:
-            later.update(c[1:])
-        self._learn(self.later, later, " ")
-        get_first, get_later = self.first.__getitem__, self.later.__getitem__
-        return [[get_first(c[0]), *map(get_later, c[1:])] if c else [] for c in cut]
+    def __init__(self, values_of: Callable[[list[str]], list[np.ndarray]], dtype: type, added: Iterable[str] = (), most: int = 1 << 19):
+        self.values_of, self.dtype, self.added, self.most = values_of, dtype, tuple(added), most
+        self.slots = 1 << (4 * most - 1).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.entry = np.zeros(self.slots, np.int32)
+        self.first, self.size, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 14, self.dtype), 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        out, left = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        at = (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.entry[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], (at[on] + 1) & (self.slots - 1)
+        return out
+
+    def _add(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
+        sizes = np.array([len(v) for v in values], np.int32)
+        flat = np.concatenate(values) if values else np.zeros(0, self.dtype)
+        n, to = self.known, self.known + len(keys)
+        if to > len(self.first):
+            self.first = np.append(self.first[:n], np.zeros(max(to, 2 * n) - n, np.int64))
+            self.size = np.append(self.size[:n], np.zeros(max(to, 2 * n) - n, np.int32))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.append(self.pool[: self.used], np.zeros(max(2 * self.used, len(flat) + 1024), self.dtype))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[n:to], self.size[n:to] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.known, self.used = to, self.used + len(flat)
+        left, at = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == 0)
+            take = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[take]], self.entry[at[take]] = keys[left[take]], n + left[take]
+            on = np.ones(len(left), bool)
+            on[take] = False
+            left, at = left[on], (at[on] + 1) & (self.slots - 1)
+
+    def gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All values of the texts in order, and the first of each text (and one more)."""
+        start, end, first, whole, data = units(texts, self.added)
+        keys = ranges(BYTE_VALUES[data], BASES[0], start, end)
+        keys[keys == 0] = 1
+        once = np.zeros(len(keys), bool)  # units that aren't remembered
+        once[first[:-1][whole]] = True
+        entry = self._find(keys)
+        new = np.flatnonzero((entry < 0) & ~once)
+        raw = data.tobytes()
+        if len(new):
+            unique, at = np.unique(keys[new], return_index=True)
+            if self.known + len(unique) > self.most:
+                self._clear()
+                unique, at = np.unique(keys[~once], return_index=True)
+                new = np.flatnonzero(~once)
+            at = new[at]
+            for k in range(0, len(at), 1_000):
+                some = at[k : k + 1_000]
+                self._add(unique[k : k + 1_000], self.values_of([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
+            entry[new] = self._find(keys[new])
+        own = np.flatnonzero(once)
+        extra = self.values_of([raw[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]) if len(own) else []
+        place = np.append(0, np.cumsum([len(x) for x in extra]))
+        begin, size = self.first[entry], self.size[entry].astype(np.int64)
+        begin[own], size[own] = self.used + place[:-1], np.diff(place)
+        pool = np.concatenate([self.pool[: self.used], *extra]) if len(own) else self.pool
+        total = np.append(0, np.cumsum(size))
+        at = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        return pool[at], total[first]
 
 
 class TokenCounter:
@@ -119,10 +226,9 @@ class TokenCounter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.pattern = regex.compile(PIECES)
-        self.pieces: dict[str, int] = {}
-        self.memo = Memo(self._count)
+        self.memo = Memo(self._count, np.int64, added)
 
-    def _count(self, parts: list[str]) -> list[int]:
+    def _count(self, parts: list[str]) -> list[np.ndarray]:
         cut, extra = [], []
         for part in parts:
             if self.added and (n := len(self.added.findall(part))):
@@ -141,7 +247,10 @@ class TokenCounter:
                 to += 1
             known.update(zip(unique[at:to], self.merger.counts([p.encode() for p in unique[at:to]]).tolist(), strict=True))
             at = to
-        return [n + sum(map(known.__getitem__, c)) for n, c in zip(extra, cut, strict=True)]
+        return list(np.array([[n + sum(map(known.__getitem__, c))] for n, c in zip(extra, cut, strict=True)], np.int64))
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        return [sum(p) for p in self.memo.parts(texts)]
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text; 0 for null."""
+        values, first = self.memo.gather(texts)
+        total = np.append(0, np.cumsum(values))
+        return np.diff(total[first])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _encoders: dict[str, Memo] = {}
 
 
 def encoder(path: str) -> Memo:
-    """Ids (little-endian unsigned 32-bit bytes) of parts of texts, by the tokenizers library."""
+    """Ids of texts, by the tokenizers library."""
     if path not in _encoders:
         import os
 
@@ -40,10 +41,10 @@ def encoder(path: str) -> Memo:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
-        def encode(parts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        def encode(parts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-        _encoders[path] = Memo(encode)
+        _encoders[path] = Memo(encode, np.uint32, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
     return _encoders[path]
 
 
@@ -59,8 +60,10 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_c
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes, crcs, tails = [], [], []
-                for pieces in memo.parts(part.column("text").to_pylist()):
-                    ids = b"".join(pieces) + b"\0\0\0\0"
+                values, first = memo.gather(part.column("text"))
+                raw, bounds = values.astype("<u4").tobytes(), (4 * first).tolist()
+                for a, b in pairwise(bounds):
+                    ids = raw[a:b] + b"\0\0\0\0"
                     whole = len(ids) // step * step
                     sizes.append(len(ids) // 4)
                     crcs.append([zlib.crc32(ids[at : at + step]) for at in range(0, whole, step)])
@@ -108,37 +111,34 @@ def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
         return []
     index = Index([tails[i] for i in some])
     sizes = [len(tails[i]) for i in some]
-    unused, out, now, room = np.ones(len(some), bool), [], [], window
-    seed, left = 0, len(some)
+    used, out, now, room = np.zeros(len(some), bool), [], [], window
+    seed, left, scores = 0, len(some), None
     while left:
-        while not unused[seed]:  # the next seed where no cut document is one
-            seed += 1
-        order, doc = None, seed
-        while left:
-            if order is not None:
-                doc = next((d for d in order if unused[d]), None)
-                if doc is None:
-                    break
-            unused[doc] = False
-            left -= 1
-            at, size = 0, sizes[doc]
-            while size - at > room:
-                now.append((some[doc], at, at + room))
-                out.append(now)
-                at, now, room, order = at + room, [], window, None
-            now.append((some[doc], at, size))
-            room -= size - at
-            if not room:
-                out.append(now)
-                now, room = [], window
-                break
-            if order is None:  # doc begins this window: it is the seed
-                order = np.argsort(np.where(unused, -index.scores(doc), np.inf), kind="stable")
-                order = order[: int(unused.sum())].tolist()
+        if scores is None:  # a window begins, and no cut document is its seed
+            while used[seed]:
+                seed += 1
+            doc = seed
+        else:
+            scores[used] = -1.0
+            doc = int(scores.argmax())
+        used[doc] = True
+        left -= 1
+        at, size = 0, sizes[doc]
+        if size > room:
+            now.append((some[doc], 0, room))
+            out.append(now)
+            at, now, room, scores = room, [], window, None
+        now.append((some[doc], at, size))
+        room -= size - at
+        if not room:
+            out.append(now)
+            now, room, scores = [], window, None
+        elif scores is None:  # doc begins this window: it is the seed
+            scores = index.scores(doc)
     return out + [now] if now else out
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents in sequences of at most window ids.
 
     doc_id, start (the document's ids before the piece), length, ids_crc32, doc_tokens (with

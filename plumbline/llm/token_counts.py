@@ -36,7 +36,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
         for batch in batches:
             for part in slices(batch, "text"):
                 n_bytes = pc.binary_length(part.column("text").cast(pa.large_binary())).fill_null(0).cast(pa.int64())
-                n_tokens = pa.array(tokens.counts(part.column("text").to_pylist()), pa.int64())
+                n_tokens = pa.array(tokens.counts(part.column("text")), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -15,13 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=U64)
-_LOWER = _VALUES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F)
+BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=U64)
+_LOWER = BYTE_VALUES.copy()
+_LOWER[ord("A") : ord("Z") + 1] = BYTE_VALUES[ord("a") : ord("z") + 1]
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 #: 0 for separators, 1 for letters, digits and all bytes over 127, 2 for other signs.
@@ -52,7 +52,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _ranges(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def ranges(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] for many ranges."""
     total = np.zeros(len(values) + 1, U64)
     np.cumsum(values * powers(base, len(values)), out=total[1:])
     inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
@@ -80,7 +81,7 @@ class Words:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         ends = np.repeat(self.first[1:], self.counts)
         at = np.flatnonzero(np.arange(total) + n <= ends)
-        return _ranges(self.hashes, _BASES[key], at, at + n), at
+        return ranges(self.hashes, BASES[key], at, at + n), at
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         """For word positions, the number of their text in the slice."""
@@ -110,7 +111,7 @@ def split_words(texts: pa.Array, lower: bool = False, signs: bool = False) -> Wo
     begin[offsets[some]] = inside[offsets[some]]
     stop[offsets[some + 1] - 1] = inside[offsets[some + 1] - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    hashes = _ranges((_LOWER if lower else _VALUES)[data], _BASES[0], start, end)
+    hashes = ranges((_LOWER if lower else BYTE_VALUES)[data], BASES[0], start, end)
     return Words(hashes, np.searchsorted(start, offsets), start, end, data)
 
 

@@ -89,16 +89,19 @@ def budgets(sources: DataFrame, alpha: float, mix: Mix) -> DataFrame:
     return shares.join(F.broadcast(norm), F.lit(True)).select("source", "tokens", F.floor(F.col("power") / F.col("z") * budget).cast("long").alias("budget"))
 
 
-def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:  # noqa: B008
+def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:  # noqa: B008
     """doc_id, source, tokens, epoch, block, start: one row for each drawing of a document.
 
+    whole: with the drawn row of docs as a struct in column row, whatever its columns' names.
+
     start is the number of the source's tokens drawn before. A document is drawn in the
     last, unfinished epoch if its drawing begins within the budget, so that a source is at
     most one document over. Documents without tokens are drawn in no epoch; a null source
     is a source of its own, a null id an id of its own; repeated rows are drawn each for
     itself; an empty table draws nothing; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), estimated_tokens(F.col(text_col)).alias("tokens")).where("tokens > 0")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), estimated_tokens(F.col(text_col)).alias("tokens"), *rest).where("tokens > 0")
     scratch = Scratch(docs.sparkSession, "mix")
     sources = scratch.store(source_tokens(rows, "source", F.col("tokens")), "sources")
     plan = budgets(sources, temperature(sources, mix), mix)
@@ -120,8 +123,8 @@ def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     runs = runs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     runs = runs.where("epoch < epochs OR before < rest")
     runs = runs.select(F.col("source").alias("own"), F.col("block").alias("at"), "epoch", "before", F.expr("epoch * all").alias("done"), F.expr("CASE WHEN epoch < epochs THEN all ELSE rest END").alias("limit"))
-    drawn = placed.select("doc_id", "source", "tokens", "block").join(runs, F.col("source").eqNullSafe(F.col("own")) & (F.col("block") == F.col("at")))
+    drawn = placed.select("doc_id", "source", "tokens", "block", *(["row"] if whole else [])).join(runs, F.col("source").eqNullSafe(F.col("own")) & (F.col("block") == F.col("at")))
     turn = unit_hash(key, F.col("epoch").cast("string"), F.lit(str(mix.seed)))
     inside = Window.partitionBy("source", "block", "epoch").orderBy(turn, "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("offset", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("offset < limit")
-    return drawn.select("doc_id", "source", "tokens", "epoch", "block", (F.col("done") + F.col("offset")).alias("start"))
+    return drawn.select("doc_id", "source", "tokens", "epoch", "block", (F.col("done") + F.col("offset")).alias("start"), *(["row"] if whole else []))

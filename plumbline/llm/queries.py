@@ -7,16 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from plumbline.llm import license_scan, mixing, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from plumbline.llm.common import read_table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(read_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), window=1024)
@@ -49,7 +58,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
+    "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import license_scan, mixing, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from plumbline.llm.common import read_table
+from plumbline.llm.oracles import ORACLES
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -49,7 +50,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -6,10 +6,10 @@ work of 2 * M * M * T, and two documents of similarity s meet in a table with pr
 (1 - (1 - s^T)^M)^2: 0.9996 at 0.8, 0.99999 at 0.85.
 
 Documents with one shingle set are one node. In each table bucket the members are compared
-with the bucket's smallest node alone, on full shingle sets, and the links give components.
-Buckets whose members lie in several components are not cut off: their members are joined
+with the bucket's head alone, on full shingle sets, and the links give components.
+Buckets whose members lie in several components are not cut off: their members are grouped
 by the rarest shingles of each (a prefix that two sets of the wanted similarity must
-share), between different components only, and those pairs are compared, too.
+share), and the groups' components are compared with each other, block by block.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from plumbline.llm.wordhash import BASES, U64, first_of_runs, mix, ranges, slice
 M, T = 12, 3
 #: Counters of the shingle frequencies that order a prefix; any order is right.
 COUNTERS = 1 << 16
+#: Texts of a block, and shingles that a task compares at once.
+BLOCK, COLUMNS = 256, 2048
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32) | np.uint32(1)
@@ -151,6 +153,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, percent), "a long, b long")
 
 
+def _links_across(n: int, percent: int):
+    """Links between different components of one pair of blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = shingle_sets(table.column("text").combine_chunks(), n)
+        component, side = table.column("component").to_numpy(), table.column("side").to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both
+        _, token, often = np.unique(sets.shingles, return_inverse=True, return_counts=True)
+        owner, shared = sets.owner, often > 1
+        renumbered = np.cumsum(shared) - 1
+        own = shared[token]
+        column, owner = renumbered[token[own]], owner[own]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            held = np.zeros((table.num_rows, COLUMNS), np.float32)
+            held[owner[a:b], column[a:b] - at] = 1
+            common += held[left] @ held[right].T
+        size = sets.sizes.astype(np.float32)
+        union = size[left][:, None] + size[right][None, :] - common
+        linked = (100 * common >= percent * union) & (union > 0) & (component[left][:, None] != component[right][None, :])
+        i, j = np.nonzero(linked)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": pa.array(ids[left[i]]), "b": pa.array(ids[right[j]])})
+
+    return run
+
+
+def _across(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components of one group; texts: id, component, group, text.
+
+    A group is cut into blocks of about BLOCK texts: a large component has blocks of its
+    own, smaller ones share blocks. Every two blocks meet in a task of their own, but those
+    of one component; only links come out.
+    """
+    rows = texts.select("group", "component", "id").distinct()
+    sizes = rows.groupBy("group", "component").agg(F.count("*").alias("size"))
+    small = sizes.groupBy("group").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small"))
+    sizes = sizes.join(small, "group")
+    large = F.col("size") >= BLOCK
+    sizes = sizes.select("group", "component", F.when(large, F.col("component")).alias("pure"), F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / BLOCK).alias("parts"))
+    part = F.when(F.col("pure").isNotNull(), F.pmod(F.xxhash64("id"), "parts")).otherwise(F.pmod(F.xxhash64("component"), "parts"))
+    placed = texts.join(sizes, ["group", "component"]).withColumn("block", F.xxhash64("group", "pure", part))
+    blocks = placed.select("group", "block", "pure").distinct()
+    other = blocks.select("group", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
+    meets = blocks.join(other, "group").where("block <= other AND NOT coalesce(pure = other_pure, false)")
+    meets = meets.select(F.xxhash64("block", "other").alias("meeting"), "block", "other")
+    sides = meets.select("meeting", "block", F.when(F.col("block") == F.col("other"), 2).otherwise(0).alias("side"))
+    sides = sides.unionByName(meets.where("block < other").select("meeting", F.col("other").alias("block"), F.lit(1).alias("side")))
+    met = placed.join(sides, "block").select("meeting", "side", "component", "id", "text")
+    return met.groupBy("meeting").applyInArrow(_links_across(n, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -173,11 +231,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     firsts = full.join(known.where("id = node").select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "left_semi")
     tables = F.expr(f"flatten(transform(slice(halves, 1, {M}), x -> transform(slice(halves, {M + 1}, {M}), y -> xxhash64(x, y))))")
     keys = firsts.select(F.col("id").alias("node"), F.explode(tables).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    members = scratch.store(keys.join(heads, "key").where("node > head").select("key", "head", "node"), "members")
-    pairs = scratch.store(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.store(keys.join(sizes, "key").select("key", "node", "n"), "shared")
+    # The head of a bucket is its node with the most company over all tables: of a text and
+    # its many altered copies, most likely the text that they were made from.
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    heads = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("head"))
+    members = scratch.store(shared.join(heads, "key").where("node <> head").select("key", "head", "node"), "members")
+    pairs = scratch.store(members.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "pairs")
+    scratch.drop("shared")
     paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = scratch.store(rows.join(paired, "id"), "texts")
+    # Texts are dealt by id alike at every size, and not sorted.
+    texts = scratch.store(rows.join(paired.hint("shuffle_hash"), "id"), "texts")
     links = scratch.store(_verified(pairs, texts, shingle, percent).distinct(), "links")
     found = components(links, scratch, "first")
 
@@ -197,13 +262,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     schema = "token long, n long, id long, component long"
     postings = open_texts.mapInArrow(_prefixes(shingle, percent, spark.sparkContext.broadcast(often)), schema)
     postings = scratch.store(postings.distinct(), "postings")
-    sides = postings.select("token", "component").distinct()
-    apart = sides.select("token", F.col("component").alias("ca")).join(sides.select("token", F.col("component").alias("cb")), "token").where("ca < cb")
-    a = postings.select("token", F.col("component").alias("ca"), F.col("id").alias("ia"), F.col("n").alias("na"))
-    b = postings.select("token", F.col("component").alias("cb"), F.col("id").alias("ib"), F.col("n").alias("nb"))
-    more = apart.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    more = more.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.store(_verified(more, open_texts.select("id", "text").distinct(), shingle, percent).distinct(), "more")
+    tokens = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).where("low < high")
+    near = components(postings.join(tokens, "token").select("a", F.col("id").alias("b")), scratch, "groups").withColumnRenamed("component", "group")
+    more = scratch.store(_across(open_texts.join(near, "id"), shingle, percent).distinct(), "more")
     scratch.drop("postings", "open", "texts", "members", "pairs")
     found = components(links.unionByName(more), scratch, "last")
 

@@ -127,10 +127,10 @@ def authority(nodes: DataFrame, features: DataFrame) -> DataFrame:
     rows = rows.withColumn("tokens", F.expr(x.effective_tokens(SPARK)))
     rows = rows.withColumn("raw_density", F.expr("authority / greatest(1.0e0, log2(cast(tokens + 2 AS double)))"))
     rows = rows.withColumn("top", F.max("raw_density").over(Window.partitionBy("graph_id")))
-    return rows.selectExpr("graph_id", "id", "tokens", "authority", "CASE WHEN top = 0 THEN 0.0e0 ELSE raw_density / top END AS density")
+    return rows.selectExpr("graph_id", "id", "tokens", "authority", "CASE WHEN top = 0 THEN 0.0e0 ELSE raw_density / top END AS token_density")
 
 
-def token_fit(tokens: str = "tokens", budget: str = "budget", density: str = "density") -> str:
+def token_fit(tokens: str = "tokens", budget: str = "budget", density: str = "token_density") -> str:
     return x.clamp(f"0.6e0 * {x.length_fit(tokens, budget)} + 0.4e0 * {density}")
 
 

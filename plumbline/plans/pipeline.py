@@ -55,6 +55,15 @@ class Analysis:
     def edges(self) -> DataFrame:
         return graph.normalised_edges(self.corpus.edges)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """What one aggregation over the edges gives, without the rest of the table."""
+        return graph.edge_features(self.corpus.nodes, self.edges)
+
+    @cached_property
+    def authorities(self) -> DataFrame:
+        return graph.authority(self.corpus.nodes, self.features)
+
     @cached_property
     def table(self) -> DataFrame:
         return graph.graph_table(self.corpus.nodes, self.edges, self.corpus.now_year)

@@ -80,10 +80,10 @@ over("stale_hype", "graph_id, id, stale_hype", "table", step="graphs")
 over("overview_cue", "graph_id, id, overview_cue", "table", step="graphs")
 over("access_gate", "query_id, id, denial IS NULL AS allowed, coalesce(denial, '') AS detail", "rank_rows", where="ranked", step="rank_gated")
 over("access_suppressed", "query_id, id, 'access-control' AS reason, denial AS detail", "rank_rows", where="ranked AND denial IS NOT NULL", step="rank_gated")
-over("centrality", f"graph_id, id, {six('centrality')}", "table", step="features")
-over("degree", "graph_id, id, degree", "table", step="features")
-over("incoming_cites", f"graph_id, id, {six('cites')}", "table", step="features")
-over("authority", f"graph_id, id, {six('authority')}", "table", step="authorities")
+over("centrality", f"graph_id, id, {six('centrality')}", "features", step="features")
+over("degree", "graph_id, id, degree", "features", step="features")
+over("incoming_cites", f"graph_id, id, {six('cites')}", "features", step="features")
+over("authority", f"graph_id, id, {six('authority')}", "authorities", step="authorities")
 over("foundation_score", f"graph_id, id, {six('foundation_score')}", "table", step="graphs")
 over("bridge_score", f"graph_id, id, {six('bridge_score')}", "table", step="graphs")
 over("roles", "query_id, id, role", "rows", step="parts")

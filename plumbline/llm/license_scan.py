@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import small_batches
 from plumbline.llm.wordhash import U64, Words, slices, split_words
 
 SHINGLE = 5
@@ -126,6 +127,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
     words, holds none; a null id stays null; repeated rows give their rows each; an empty
     table gives none; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     scanner = Scanner(TEMPLATES if templates is None else templates, share, miss)
     schema = "doc_id long, license string, containment double, start long, end long"
 

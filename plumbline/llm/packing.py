@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import Memo
+from plumbline.llm.common import small_batches
 from plumbline.llm.wordhash import slices
 
 K1, B = 1.2, 0.75
@@ -147,6 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int =
     one id, or equal rows, are packed each for itself; an empty table gives no pieces; other
     columns are not read. shard_docs bounds what a task holds, whatever the input's size.
     """
+    small_batches(docs.sparkSession)
     rows = tokenized(docs, vocabulary, window, id_col, text_col)
     shards = max(1, -(-docs.count() // shard_docs))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, small_batches
 from plumbline.llm.wordhash import U64, mix, slices, split_words
 
 BUCKETS = 1 << 16
@@ -52,7 +52,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         bucket, text = features(texts)
-        return np.bincount(text, self.ratio[bucket], len(texts))
+        return np.bincount(text, self.ratio[bucket], len(texts)).astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED_ROWS) -> Model:
@@ -62,6 +62,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 0, id_col: str = "doc_id
     labelled rows, and the share to keep is that of good rows among these. Without a good
     row every ratio is 0 and the share is 1.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("id"),
         (F.col("quality") == 1).alias("good"),

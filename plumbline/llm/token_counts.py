@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import TokenCounter
+from plumbline.llm.common import small_batches
 from plumbline.llm.wordhash import slices
 
 _counters: dict[str, TokenCounter] = {}
@@ -39,6 +40,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
                 n_tokens = pa.array(tokens.counts(part.column("text")), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -68,6 +68,12 @@ class Analysis:
     def table(self) -> DataFrame:
         return graph.graph_table(self.corpus.nodes, self.edges, self.corpus.now_year)
 
+    @cached_property
+    def ppr(self) -> DataFrame:
+        """PageRank needs relevance, ids and edges alone."""
+        ids = self.corpus.queries.select("query_id", "graph_id").join(self.corpus.nodes.select("graph_id", "id"), "graph_id")
+        return graph.personalised_pagerank(ranking.with_relevance(ids, self.corpus.candidates), self.edges, self.corpus.queries)
+
     @cached_property
     def rows(self) -> DataFrame:
         """Each query with each node of its graph: features, role, relevance, PageRank.
@@ -75,9 +81,8 @@ class Analysis:
         Cut into the checkpoint folder, as everything below reads it.
         """
         rows = ranking.with_relevance(graph.query_nodes(self.corpus.queries, self.table), self.corpus.candidates)
-        rows = graph.cut(rows.drop("query", "clearance", "caller_tenant", "trusted_approvers", "allow_unapproved", "attribute_type", "query_type", "token_budget", "allow_degraded"))
-        ppr = graph.personalised_pagerank(rows, self.edges, self.corpus.queries)
-        return graph.cut(rows.join(ppr, ["query_id", "id"]))
+        rows = rows.drop("query", "clearance", "caller_tenant", "trusted_approvers", "allow_unapproved", "attribute_type", "query_type", "token_budget", "allow_degraded")
+        return graph.cut(rows.join(self.ppr, ["query_id", "id"]))
 
     def _gated(self, callers: DataFrame) -> DataFrame:
         return access.gated(self.rows.join(callers, "query_id"))

@@ -89,7 +89,7 @@ over("bridge_score", f"graph_id, id, {six('bridge_score')}", "table", step="grap
 over("roles", "query_id, id, role", "rows", step="parts")
 over("legacy_score", "query_id, id, backlog_total AS total, readiness2 AS readiness, freshness2 AS freshness", "rows", step="legacy")
 # The walk stops at its tolerance here, and after a fixed number of steps there.
-over("ppr", f"query_id, id, {x.rounded('ppr', 5)} AS ppr", "rows", step="rows")
+over("ppr", f"query_id, id, {x.rounded('ppr', 5)} AS ppr", "ppr", step="ppr")
 over("token_budget_fit", f"query_id, id, {six('token_fit')}", "ranked", step="rank_parts")
 over("diversity", f"query_id, id, {six('diversity')}", "ranked", step="rank_parts")
 over("rank", "query_id, id, cast(rank AS int) AS rank, total", "ranked", step="rank_ranked")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, unit_hash
 
+#: Blocks of a source at most, so that one task can order them; larger sources have larger blocks.
+MOST_BLOCKS = 1 << 16
 #: Bisection steps; they narrow alpha to less than the spacing of doubles below 1.
 STEPS = 52
 
@@ -107,7 +109,7 @@ def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     plan = budgets(sources, temperature(sources, mix), mix)
     plan = plan.select(
         "source", "tokens", "budget",
-        F.ceil(F.col("tokens") / mix.block_tokens).cast("long").alias("blocks"),
+        F.least(F.ceil(F.col("tokens") / mix.block_tokens), F.lit(MOST_BLOCKS)).cast("long").alias("blocks"),
         F.expr("budget div tokens").alias("epochs"),
         F.expr("budget % tokens").alias("rest"),
     )

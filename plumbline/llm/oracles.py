@@ -31,7 +31,7 @@ by_repeats AS (SELECT 0 AS step, cast(0 AS double) AS low, cast(1 AS double) AS
         ((SELECT exp(max((m - 1.0) * l)) / sum(exp(m * l)) FROM logs) > {repeats} OR m <= (SELECT a0 FROM over)) AS good FROM (SELECT *, (low + high) / 2 AS m FROM by_repeats WHERE step < 52))),
 alpha AS MATERIALIZED (SELECT CASE WHEN r0 <= {repeats} THEN a0 WHEN r1 > {repeats} THEN cast(1 AS double) ELSE (SELECT low FROM by_repeats WHERE step = 52) END AS a FROM over),
 powers AS MATERIALIZED (SELECT source, tokens, total, exp(a * ln(tokens / cast(total AS double))) AS p FROM sources, total, alpha),
-plan AS MATERIALIZED (SELECT source, tokens AS own, budget, cast(ceil(tokens / {block}.0) AS bigint) AS blocks, budget // tokens AS epochs, budget % tokens AS rest
+plan AS MATERIALIZED (SELECT source, tokens AS own, budget, least(cast(ceil(tokens / {block}.0) AS bigint), 65536) AS blocks, budget // tokens AS epochs, budget % tokens AS rest
     FROM (SELECT *, cast(floor(p / (SELECT sum(p) FROM powers) * total) AS bigint) AS budget FROM powers)),
 placed AS MATERIALIZED (SELECT s.*, own, epochs, rest, {unit(key, "'block'", "'0'")} % blocks AS block FROM sized s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source),
 runs AS MATERIALIZED (SELECT source, block, epochs, rest, own, unnest(range(0, epochs + 1)) AS epoch, size FROM (SELECT source, block, any_value(epochs) AS epochs, any_value(rest) AS rest, any_value(own) AS own, sum(tokens) AS size FROM placed GROUP BY source, block)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,11 +64,20 @@ class Scratch:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
-        # Shuffle files go when the plan that made them is collected as garbage.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        self.release(1)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self, rounds: int = 2) -> None:
+        """Lets shuffle files go: they do when the plan that made them is garbage.
+
+        Right after a write the scheduler may still hold it, so that it takes two rounds
+        to be sure.
+        """
+        for k in range(rounds):
+            time.sleep(0.5 * (k > 0))
+            gc.collect()
+            self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

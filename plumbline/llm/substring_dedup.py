@@ -204,13 +204,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> De
     probes = rows.mapInArrow(_probes, "block long, id long, place int")
     hits = probes.join(index, "block").where("low <> id OR high <> id").groupBy("id").agg(F.collect_list("place").alias("hits"))
     wanted = described.where(f"id = first AND n_words >= {LENGTH}").select("id").distinct()
-    marked = scratch.store(rows.join(hits.join(wanted, "id"), "id"), "marked")
-
-    windows = scratch.store(marked.mapInArrow(_windows, "w1 long, w2 long, id long, seq long, place int"), "windows")
+    # Texts are dealt by id alike at every size, and not sorted.
+    marked = scratch.store(rows.join(hits.join(wanted, "id").hint("shuffle_hash"), "id"), "marked")
+    scratch.release()
+    # Hashing them again costs less than keeping them.
+    windows = marked.mapInArrow(_windows, "w1 long, w2 long, id long, seq long, place int")
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     found = windows.join(least, ["w1", "w2"]).where("id > low").groupBy("id").agg(F.collect_list(F.struct("seq", "place")).alias("found"))
     found = scratch.store(found, "found")
-    scratch.drop("windows")
     cuts = marked.select("id", "text").join(found, "id").mapInArrow(_cuts, "id long, seq long, n_removed long, kept binary, cut_text string")
     cuts = scratch.store(cuts.where("n_removed > 0").dropDuplicates(["id", "seq"]), "cuts")
     scratch.drop("marked", "found")

@@ -30,7 +30,7 @@ M, T = 12, 3
 #: Counters of the shingle frequencies that order a prefix; any order is right.
 COUNTERS = 1 << 16
 #: Texts of a block, and shingles that a task compares at once.
-BLOCK, COLUMNS = 256, 2048
+BLOCK, COLUMNS = 128, 2048
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32) | np.uint32(1)
@@ -69,6 +69,13 @@ def shingle_sets(texts: pa.Array, n: int) -> Sets:
     return Sets(grams[new], np.searchsorted(text[new], np.arange(len(texts) + 1)))
 
 
+def sliced_sets(texts: pa.Array, n: int) -> Sets:
+    """The same for many texts, a slice at a time."""
+    parts = [shingle_sets(part.column("text"), n) for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    sizes = np.concatenate([p.sizes for p in parts])
+    return Sets(np.concatenate([p.shingles for p in parts]), np.append(0, np.cumsum(sizes)))
+
+
 def half_keys(sets: Sets) -> np.ndarray:
     """For each set, its 2 * M half keys; 0 for an empty set."""
     out = np.zeros((len(sets.first) - 1, 2 * M), U64)
@@ -158,7 +165,7 @@ def _links_across(n: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sets = shingle_sets(table.column("text").combine_chunks(), n)
+        sets = sliced_sets(table.column("text").combine_chunks(), n)
         component, side = table.column("component").to_numpy(), table.column("side").to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both
         _, token, often = np.unique(sets.shingles, return_inverse=True, return_counts=True)
@@ -240,6 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     members = scratch.store(shared.join(heads, "key").where("node <> head").select("key", "head", "node"), "members")
     pairs = scratch.store(members.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "pairs")
     scratch.drop("shared")
+    scratch.release()
     paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # Texts are dealt by id alike at every size, and not sorted.
     texts = scratch.store(rows.join(paired.hint("shuffle_hash"), "id"), "texts")

@@ -1,16 +1,20 @@
 """Lexical retrieval packing: fixed-length training sequences of lexically close documents.
 
-Documents are dealt by a hash of their id into index shards of about shard_docs documents.
-Each shard holds a BM25 inverted index over the token ids of what is left of its documents
-after whole windows were cut from their beginning. A seed's nearest unused neighbours fill
-its window in order of score; the one that crosses the window's end is cut there, and its
-rest is the next seed. So only a shard's last sequence is padded.
+Documents are ordered lexically, by min-hashes of their token ids that prefer rare ones, and
+the order is cut into index shards of about shard_docs documents, so that copies and documents
+that share rare ids mostly lie in one. Each shard holds a BM25 inverted index over all token
+ids of its documents, with the document frequencies of the whole input. A seed's nearest
+unused neighbours fill its window with what is left of them after whole windows were cut from
+their beginning, in order of score; the one that crosses the window's end is cut there, and
+its rest is the next seed. So only a shard's last sequence is padded. Neighbours in other
+shards aren't found.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -19,13 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import Memo
-from plumbline.llm.common import small_batches
-from plumbline.llm.wordhash import slices
+from plumbline.llm.common import Scratch
+from plumbline.llm.wordhash import U64, mix, slices
 
 K1, B = 1.2, 0.75
+TOKENIZED = "doc_id long, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary"
+TOKENIZED_NAMES = [f.split()[0] for f in TOKENIZED.split(", ")]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequences of one shard have ids from shard * 2 ** 32.
 SHARD_BITS = 32
+#: Levels of the lexical order: ids in a smaller share of the documents aren't preferred, as
+#: few documents could meet in them.
+LEVELS = (0.05, 0.02, 0.02)
+#: Documents of the sample, for each shard, that the shards' bounds are taken from.
+SAMPLED = 16
 
 _encoders: dict[str, Memo] = {}
 
@@ -50,10 +61,11 @@ def encoder(path: str) -> Memo:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, doc_tokens, crcs (of its whole windows) and tail (bytes of the ids after them).
+    """doc_id, doc_tokens, crcs (of its whole windows), tail (bytes of the ids after them), terms and counts.
 
     The last id of a document is the separator 0. A document that fills whole windows
-    exactly has an empty tail.
+    exactly has an empty tail. terms are the distinct ids of the whole text, without the
+    separator, and counts how often each occurs.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +75,11 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_c
                 sizes, crcs, tails = [], [], []
                 values, first = memo.gather(part.column("text"))
                 raw, bounds = values.astype("<u4").tobytes(), (4 * first).tolist()
+                # Short keys sort faster.
+                bits, kind = (16, np.uint32) if part.num_rows < 1 << 16 and (not len(values) or values.max() < 1 << 16) else (32, np.int64)
+                keys, tf = np.unique(np.repeat(np.arange(part.num_rows, dtype=kind) << bits, np.diff(first)) | values.astype(kind), return_counts=True)
+                begin = (4 * np.searchsorted(keys, np.arange(part.num_rows, dtype=kind) << bits)).tolist() + [4 * len(keys)]
+                terms, counts = (x.astype("<u4").tobytes() for x in (keys & ((1 << bits) - 1), tf))
                 for a, b in pairwise(bounds):
                     ids = raw[a:b] + b"\0\0\0\0"
                     whole = len(ids) // step * step
@@ -70,29 +87,96 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, id_col: str, text_c
                     crcs.append([zlib.crc32(ids[at : at + step]) for at in range(0, whole, step)])
                     tails.append(ids[whole:])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
-                    ["doc_id", "doc_tokens", "crcs", "tail"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (tails, [terms[a:b] for a, b in pairwise(begin)], [counts[a:b] for a, b in pairwise(begin)]))],
+                    TOKENIZED_NAMES,
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, doc_tokens long, crcs array<long>, tail binary")
+    return rows.mapInArrow(encode, TOKENIZED)
+
+
+@dataclass(frozen=True)
+class Frequencies:
+    """How many documents there are, and by id how many of them hold it."""
+
+    n: int
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
+
+def frequencies(rows: DataFrame) -> Frequencies:
+    """Of all documents of tokenized()."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column("terms").to_pylist()), "<u4"), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+
+    found = rows.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(int(found["term"].max()) + 1 if len(found) else 1, np.int64)
+    df[found["term"]] = found["n"]
+    return Frequencies(rows.count(), df)
+
+
+def preferences(known: Frequencies) -> list[np.ndarray]:
+    """For each level, the place of each id in a random order that favours rare ones."""
+    out = []
+    for level, least in enumerate(LEVELS):
+        u = ((mix(mix(np.arange(len(known.df)).astype(U64)) ^ mix(np.array([level], U64))) >> U64(11)).astype(float) + 0.5) / 2.0**53
+        weight = known.idf() * np.where(known.df > least * known.n, 1, 1e-9)
+        place = np.empty(len(u), np.int64)
+        place[np.argsort(-np.log(u) / weight, kind="stable")] = np.arange(len(u))
+        out.append(place)
+    return out
+
+
+def lexical_order(bags: list[np.ndarray], salt: np.ndarray, preferred: list[np.ndarray]) -> np.ndarray:
+    """Numbers that order documents: 16 bits of the preferred id of each level, then of the salt.
+
+    Documents that agree in all levels, as copies do, are told apart by the salt alone.
+    """
+    sizes = np.array([len(b) for b in bags], np.int64)
+    some = np.flatnonzero(sizes)
+    out = np.zeros(len(bags), np.int64)
+    terms, first = np.concatenate([*bags, np.zeros(0, "<u4")]).astype(np.int64), (np.cumsum(sizes) - sizes)[some]
+    for place in preferred:
+        cell = np.zeros(len(bags), np.int64)
+        if len(some):
+            best = np.minimum.reduceat(place[terms], first)
+            cell[some] = best if len(place) <= 1 << 16 else (mix(best.astype(U64)) >> U64(48)).astype(np.int64)
+        out = out << 16 | cell
+    return out << 15 | salt & 0x7FFF
 
 
 class Index:
-    """BM25 over token ids; postings of a term are a run of doc, weight."""
-
-    def __init__(self, tails: list[np.ndarray]):
-        n = len(tails)
-        sizes = np.array([len(t) for t in tails])
-        keys, tf = np.unique(np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        terms, self.docs = keys // n, keys % n
-        self.terms, first, df = np.unique(terms, return_index=True, return_counts=True)
+    """BM25 over token ids; postings of a term are a run of doc, weight.
+
+    bags: the distinct ids of each document and how often each occurs. known: document
+    frequencies, by default those of the bags.
+    """
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], known: Frequencies | None = None):
+        n = len(bags)
+        docs = np.repeat(np.arange(n), [len(t) for t, _ in bags])
+        terms, tf = (np.concatenate([b[k] for b in bags]).astype(np.int64) for k in (0, 1))
+        sizes = np.bincount(docs, tf, n)
+        # 16 bits sort by radix.
+        order = np.argsort(terms.astype(np.uint16) if terms.max(initial=0) < 1 << 16 else terms, kind="stable")
+        self.docs, tf = docs[order], tf[order]
+        self.terms, first, df = np.unique(terms[order], return_index=True, return_counts=True)
         self.first, self.last = first, first + df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = known.idf()[self.terms] if known else Frequencies(n, df).idf()
         norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1))
         self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        by_doc = np.argsort(self.docs, kind="stable")
-        term_at = np.repeat(np.arange(len(self.terms)), df)[by_doc]
+        term_at = np.empty(len(order), np.int64)
+        term_at[order] = np.repeat(np.arange(len(self.terms)), df)
         self.terms_of = np.split(term_at, np.cumsum(np.bincount(self.docs, minlength=n))[:-1])
         self.n = n
 
@@ -105,12 +189,15 @@ class Index:
         return np.bincount(self.docs[at], self.weights[at], self.n)
 
 
-def fill(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, from, to) pieces that hold each tail's ids once."""
+def fill(tails: list[np.ndarray], window: int, bags: list[tuple[np.ndarray, np.ndarray]] | None = None, known: Frequencies | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, from, to) pieces that hold each tail's ids once.
+
+    bags and known: as in Index; by default the ids of the tails alone.
+    """
     some = [i for i, t in enumerate(tails) if len(t)]
     if not some:
         return []
-    index = Index([tails[i] for i in some])
+    index = Index([bags[i] if bags else np.unique(tails[i], return_counts=True) for i in some], known)
     sizes = [len(tails[i]) for i in some]
     used, out, now, room = np.zeros(len(some), bool), [], [], window
     seed, left, scores = 0, len(some), None
@@ -146,11 +233,32 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int =
     the separator), sequence_id and offset (in the sequence). Every id of every row lies in
     one piece; null and empty text is the separator alone; a null id stays null; rows with
     one id, or equal rows, are packed each for itself; an empty table gives no pieces; other
-    columns are not read. shard_docs bounds what a task holds, whatever the input's size.
+    columns are not read. A task holds about shard_docs documents, whatever the input's size.
     """
-    small_batches(docs.sparkSession)
-    rows = tokenized(docs, vocabulary, window, id_col, text_col)
-    shards = max(1, -(-docs.count() // shard_docs))
+    spark = docs.sparkSession
+    rows = Scratch(spark, "pack").store(tokenized(docs, vocabulary, window, id_col, text_col), "tokenized")
+    known = frequencies(rows)
+    rows = rows.withColumn("salt", F.xxhash64("doc_id", "doc_tokens"))
+    preferred = spark.sparkContext.broadcast(preferences(known))
+    shards = max(1, -(-known.n // shard_docs))
+
+    def order(batch: pa.RecordBatch) -> np.ndarray:
+        return lexical_order([np.frombuffer(t, "<u4") for t in batch.column("terms").to_pylist()], batch.column("salt").to_numpy(), preferred.value)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(order(batch))], ["place"])
+
+    # The sample serves to cut the order into shards of like size; every row is dealt.
+    sample = rows.where(F.pmod(F.shiftright("salt", 15), F.lit(max(1, shard_docs // SAMPLED))) == 0) if shards > 1 else rows.where("false")
+    places = np.sort(sample.select("terms", "salt").mapInArrow(ordered, "place long").toPandas()["place"].to_numpy(np.int64))
+    bounds = spark.sparkContext.broadcast(places[np.arange(1, shards) * len(places) // shards] if len(places) else places)
+    held = spark.sparkContext.broadcast(known)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(bounds.value, order(batch), side="right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TOKENIZED_NAMES), pa.array(shard)], [*TOKENIZED_NAMES, "shard"])
 
     def place(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -164,8 +272,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int =
             for k, crc in enumerate(own):
                 found.append((ids[i], k * window, window, crc, sizes[i], sequence, 0))
                 sequence += 1
-        arrays = [np.frombuffer(t, "<u4") for t in tails]
-        for pieces in fill(arrays, window):
+        arrays, terms, counts = ([np.frombuffer(t, "<u4") for t in x] for x in (tails, table.column("terms").to_pylist(), table.column("counts").to_pylist()))
+        for pieces in fill(arrays, window, list(zip(terms, counts, strict=True)), held.value):
             offset = 0
             for i, a, b in pieces:
                 found.append((ids[i], len(crcs[i]) * window + a, b - a, zlib.crc32(tails[i][4 * a : 4 * b]), sizes[i], sequence, offset))
@@ -174,5 +282,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, shard_docs: int =
         names = [f.split()[0] for f in PIECES.split(", ")]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*found, strict=True), strict=True)})
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(place, PIECES)
+    return rows.mapInArrow(deal, TOKENIZED + ", shard long").groupBy("shard").applyInArrow(place, PIECES)

@@ -108,6 +108,27 @@ def test_packing_follows_scores():
     assert sum(a == 1 for a in alike) > len(alike) / 2
 
 
+def test_packing_shards_hold_neighbours(spark):
+    """Copies of one text lie in one shard, though shards are many and ids say nothing."""
+    rng = random.Random(8)
+    texts = [prose(rng, 60, 3000) for _ in range(120)]
+    rows = [(k * 120 + i, t) for k in range(4) for i, t in enumerate(texts)]
+    rows[0] = (0, texts[0] + " " + prose(rng, 2000, 3000))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, shard_docs=32).collect()
+    shard = {r["doc_id"]: r["sequence_id"] >> packing.SHARD_BITS for r in got}
+    assert len(set(shard.values())) >= 10 and len(shard) == 480
+    same = [shard[i] == shard[k * 120 + i] for i in range(1, 120) for k in (1, 2, 3)]
+    assert sum(same) >= 0.8 * len(same)
+
+
+def test_packing_index_holds_whole_texts():
+    """A long document is found by its beginning, which its tail doesn't show."""
+    ids = [np.arange(0, 50), np.arange(100, 150), np.arange(200, 250)]
+    tails = [ids[0].astype("<u4"), ids[1].astype("<u4"), ids[2].astype("<u4")]
+    bags = [(t, np.ones(len(t), np.int64)) for t in (ids[0], ids[1], np.concatenate([ids[2], ids[0]]))]
+    assert [[d for d, _, _ in s] for s in packing.fill(tails, 100, bags)] == [[0, 2], [1]]
+
+
 def test_near_dedup(spark, docs, texts, empty):
     for n in (4, 5):
         lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,43 @@ SHINGLE = 5
 SHARE = 0.8
 MISS = 1e-6
 
-#: Notices by license (fixed values: the licenses' own words).
-TEMPLATES = {
+#: Full texts by license: LICENSE.txt in the folder licenses.
+TEXTS = {f"{p.stem}-text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+def _notices() -> dict[str, str]:
+    """Usual notices of license families.
+
+    Where licenses or versions differ in a word, the notice is its part of at most four
+    shingles around that word: all of these must match, so that none is taken for another.
+    """
+    out = {f"GNU-{v}-or-later": f"either version {v} of the License" for v in ("1", "2", "2.1", "3")}
+    out |= {f"GNU-{v}": f"Free Software Foundation, version {v} of the License" for v in ("2", "2.1", "3")}
+    for short, name, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("3.0",))):
+        out[f"{short}-notice"] = f"terms of the {name}"
+        for v in versions:
+            out[f"{short}-{v}-sentence"] = f"{name}, version {v.removesuffix('.0')}"
+            out |= {f"{short}-{v}-{k}-spdx": f"SPDX-License-Identifier: {short}-{v}-{k}" for k in ("only", "or-later")}
+    parts = {"by": "Attribution", "nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+    for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
+        name = "-".join(parts[k] for k in kind.split("-"))
+        for version, port in (("4.0", "International"), ("3.0", "Unported")):
+            key = f"CC-{kind.upper()}-{version}"
+            out[f"{key}-notice"] = f"licensed under a Creative Commons {name} {version} {port} License"
+            if key != "CC-BY-NC-4.0":  # below
+                out[f"{key}-short"] = f"Licensed under CC {kind.upper()} {version}"
+            out[f"{key}-url"] = f"creativecommons.org/licenses/{kind}/{version}"
+    out |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "EPL-2.0", "MPL-2.0", "CC0-1.0")}
+    return out
+
+
+#: What the queries look for: fixed sentences, usual notices and full texts.
+TEMPLATES = _notices() | TEXTS | {
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-notice": "terms of the Eclipse Public License 2.0",
+    "EPL-1.0-notice": "terms of the Eclipse Public License v1.0",
+    "BSD-style-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC0-1.0-url": "creativecommons.org/publicdomain/zero/1.0",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",

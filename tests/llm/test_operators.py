@@ -324,6 +324,24 @@ def test_license_scan(spark, docs, texts, empty):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(nameless(spark, "Released under the MIT License.")).count() == 4
 
 
+def test_license_scan_covers_families(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+    gpl += """ This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    isc += license_scan.TEXTS["ISC-text"].partition("copies.")[2]
+    samples = [gpl, isc, "see https://creativecommons.org/licenses/by-sa/4.0/ for more", *license_scan.TEXTS.values()]
+    want = ["GPL-notice", "ISC-text", "CC-BY-SA-4.0-url", *license_scan.TEXTS]
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in enumerate(samples)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()}
+    assert set(enumerate(want)) <= got
+    # No other version or family.
+    assert {n for i, n in got if i == 0} == {"GPL-notice", "GNU-3-or-later"} and {n for i, n in got if i == 2} == {"CC-BY-SA-4.0-url"}
+    assert {"BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-2.0-text", "LGPL-2.1-text", "MPL-2.0-text", "Unlicense-text", "EPL-1.0-text"} <= set(want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24)).astype(np.float32)

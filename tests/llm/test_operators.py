@@ -386,6 +386,21 @@ def test_quality_classifier_held_out(spark):
         assert quality_classifier.kth_largest(fitted.keys, k) == scores[-k]
 
 
+def test_quality_classifier_rejects_toxic(spark):
+    """Long toxic documents of good quality are told from clean ones, with half of the labels held out."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        w = prose(rng, 300, 60).split()
+        if i % 6 == 0:
+            w[rng.randrange(300)] = rng.choice(["idiot", "trash"])
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(600) if i % 4 < 2], "doc_id long, quality int, toxic int")
+    got = by_id(quality_classifier.resample(docs, labels).verdicts(), "kept")
+    assert not any(got[i][0] for i in range(0, 600, 6)) and sum(k for k, in got.values()) >= 495
+
+
 def test_quality_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in quality_classifier.resample(docs, labels).verdicts().collect())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     caller = F.expr(f"cast(NULL AS {candidates.ACCESS})")
     requests = requests.withColumns({"token_budget": F.lit(args.token_budget), "query_type": F.lit(args.query_type), "allow_degraded_plan": F.lit(args.allow_degraded), "access": caller})
     corpus = candidates.corpus(requests, year)
-    corpus = type(corpus)(corpus.queries.withColumn("clearance", F.lit(args.clearance)), corpus.nodes, corpus.edges, corpus.candidates, year)
+    corpus = replace(corpus, queries=corpus.queries.withColumn("clearance", F.lit(args.clearance)))
+    if corpus.corrupt.limit(1).count() or not corpus.queries.limit(1).count():
+        print("plumbline: the request doesn't parse", file=sys.stderr)
+        return 1
     if error := validation_errors(corpus).first():
         print(f"plumbline: {error['error']}: {error['id']!r}", file=sys.stderr)
         return 1

@@ -81,16 +81,17 @@ def plans(queries: DataFrame, slot_rows: DataFrame, left_out: DataFrame, hops: D
     entry = F.struct(F.col("id").alias("node_id"), "reason", "detail", "score")
     out = left_out.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("suppressed"))
     by_reason = left_out.groupBy("query_id", "reason").count().groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "count")))).alias("suppressed_by_reason"))
-    rows = queries.select("query_id", "query_type").join(packed, "query_id", "left").join(out, "query_id", "left").join(by_reason, "query_id", "left").join(signals(queries, slot_rows), "query_id")
+    own = F.col("request_id" if "request_id" in queries.columns else "query_id").cast("string").alias("own_id")
+    rows = queries.select("query_id", "query_type", own).join(packed, "query_id", "left").join(out, "query_id", "left").join(by_reason, "query_id", "left").join(signals(queries, slot_rows), "query_id")
     if hops is not None:
         trail = hops.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "place", "node_id", "edge_type", "confidence"))).alias("hops"))
         rows = rows.join(trail.selectExpr("query_id", "transform(hops, h -> named_struct('node_id', h.node_id, 'edge_type', h.edge_type, 'confidence', h.confidence)) AS source_trail"), "query_id", "left")
     rows = rows.withColumn("evidence_path", F.expr("transform(coalesce(slots, array()), s -> s.node_id)")).fillna(0, ["tokens_used"])
     summary = "concat('Packed ', coalesce(size(slots), 0), ' slots with ', signal, ' hygiene and ', coalesce(size(suppressed), 0), ' suppressions.')"
-    return rows.withColumn("critique_summary", F.expr(summary)).withColumn("plan_hash", F.expr(plan_hash()))
+    return rows.withColumn("critique_summary", F.expr(summary)).withColumn("plan_hash", F.expr(plan_hash())).drop("own_id")
 
 
 def plan_hash() -> str:
-    """Hash of a plan's structure: query, slots in order, suppressed in order, signal."""
-    parts = "concat(array(cast(query_id AS string)), evidence_path, array('--suppressed--'), transform(coalesce(suppressed, array()), s -> s.node_id), array(signal))"
+    """Hash of a plan's structure: the request's own id (own_id), slots in order, suppressed in order, signal."""
+    parts = "concat(array(own_id), evidence_path, array('--suppressed--'), transform(coalesce(suppressed, array()), s -> s.node_id), array(signal))"
     return f"sha2(array_join({parts}, char(0)), 256)"

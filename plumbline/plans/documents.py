@@ -16,13 +16,19 @@ from plumbline.operators import ranking, routing
 from plumbline.plans.pipeline import Analysis
 from plumbline.sources.sinks import NO_TIME, indented
 
-#: Fields of a node in order; those after the bar are written only if they aren't empty.
+# The fields of a node and of a reference in order, and whether an empty one is left out.
 NODE_FIELDS = (
-    "id title |authors |source |year |type |url |length_minutes |difficulty |status |topics |notes |goal_fit |energy |density |trust |recommended_count "
-    "text chunk_type token_count version sensitivity |embedding_model |approved_by |superseded_by |context_prefix |community_id |tenant_id |source_trail |origin "
-    "observed_at updated_at locator |semantic_type |attributes"
-).split()
-REF_FIELDS = "node_id origin source |url version observed_at updated_at locator |community_id".split()
+    ("id", False), ("title", False), ("authors", True), ("source", True), ("year", True), ("type", True), ("url", True), ("length_minutes", True),
+    ("difficulty", True), ("status", True), ("topics", True), ("notes", True), ("goal_fit", True), ("energy", True), ("density", True),
+    ("trust", True), ("recommended_count", True), ("text", False), ("chunk_type", False), ("token_count", False), ("version", False),
+    ("sensitivity", False), ("embedding_model", True), ("approved_by", True), ("superseded_by", True), ("context_prefix", True),
+    ("community_id", True), ("tenant_id", True), ("source_trail", True), ("origin", True), ("observed_at", False), ("updated_at", False),
+    ("locator", False), ("semantic_type", True), ("attributes", True),
+)
+REF_FIELDS = (
+    ("node_id", False), ("origin", False), ("source", False), ("url", True), ("version", False), ("observed_at", False), ("updated_at", False),
+    ("locator", False), ("community_id", True),
+)
 TIMES = ("observed_at", "updated_at")
 
 
@@ -37,10 +43,9 @@ def plain(value: Any) -> Any:
     return [plain(x) for x in value] if isinstance(value, (list, tuple)) else value
 
 
-def fields(row: dict, names: list[str]) -> dict:
+def fields(row: dict, names: tuple[tuple[str, bool], ...]) -> dict:
     out = {}
-    for name in names:
-        optional, name = name.startswith("|"), name.lstrip("|")
+    for name, optional in names:
         value = row.get(name)
         if name in TIMES:
             value = value or NO_TIME
@@ -57,6 +62,12 @@ def _nodes(a: Analysis, query_id: str) -> dict[str, dict]:
     return {r["id"]: r.asDict(recursive=True) for r in a.corpus.nodes.join(own, "graph_id", "left_semi").collect()}
 
 
+def _own_id(a: Analysis, query_id: str) -> str:
+    """The id that the request came with."""
+    q = a.corpus.queries
+    return q.where(F.col("query_id") == query_id).select("request_id" if "request_id" in q.columns else "query_id").first()[0]
+
+
 def route(a: Analysis, query_id: str) -> str:
     r = routing.routed(a.corpus.queries, a.metadata).where(F.col("query_id") == query_id).first()
     return indented({"query_type": r["query_type"], "retrieval_mode": r["mode"], "context_budget_hint": r["budget_hint"], "reasons": [r["reason"]], "counterpoint_required": r["counterpoint_required"]})
@@ -78,7 +89,7 @@ def rank(a: Analysis, query_id: str) -> str:
     denied = []
     for r in a.rank_suppressed.where(own).orderBy("id").collect():
         denied.append({"node_id": r["id"]} | dict.fromkeys(SCORE_FIELDS, 0) | {"role": "", "access_allowed": False, "suppression_reason": r["reason"], "rationale": [r["detail"]]})
-    return indented({"query_id": query_id, "query": query, "ranked": ranked or None, "suppressed": denied or None})
+    return indented({"query_id": _own_id(a, query_id), "query": query, "ranked": ranked or None, "suppressed": denied or None})
 
 
 def pack(a: Analysis, query_id: str) -> str:
@@ -96,7 +107,7 @@ def pack(a: Analysis, query_id: str) -> str:
             "source": fields(node | {"node_id": node["id"]}, REF_FIELDS), "source_trail": hops[s["node_id"]], "must_cite": s["must_cite"], "rationale": whys[s["node_id"]],
         })
     gone = [{k: plain(x) for k, x in e.items() if x or k in ("node_id", "reason")} for e in plan["suppressed"] or []]
-    out = {"query_id": query_id, "query_type": plan["query_type"], "slots": slots or None, "suppressed": gone or None}
+    out = {"query_id": _own_id(a, query_id), "query_type": plan["query_type"], "slots": slots or None, "suppressed": gone or None}
     if plan["suppressed_by_reason"]:
         out["suppressed_by_reason"] = dict(sorted(plan["suppressed_by_reason"].items()))
     trail = [h for s in slots for h in s["source_trail"]]

@@ -126,7 +126,7 @@ def _ctes() -> dict[str, str]:
     q["scores"] = f"""SELECT *, {signal('score')} AS signal FROM (SELECT query_id, {x.clamp(f"1.0e0 - 0.18e0 * ({ratio('orphan')}) - 0.18e0 * ({ratio('duplicate')}) - 0.20e0 * ({ratio('stale')}) - 0.20e0 * ({ratio('missing_bridge')}) - 0.14e0 * ({ratio('low_trust')}) - 0.10e0 * ({ratio('unapproved')})")} AS score FROM flags GROUP BY ALL)"""
     lacks = lambda s, t, kind: f"NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = a.graph_id AND e.source_id = {s} AND e.target_id = {t} AND e.type = '{kind}')"
     both = lambda kind: f"{lacks('a.id', 'b.id', kind)} AND {lacks('b.id', 'a.id', kind)}"
-    overlap = "len(list_intersect(a.topics, b.topics)) / cast(least(len(list_distinct(a.topics)), len(list_distinct(b.topics))) AS double) >= 0.60e0"
+    overlap = "len(a.topics) > 0 AND len(b.topics) > 0 AND len(list_intersect(a.topics, b.topics)) / cast(least(len(list_distinct(a.topics)), len(list_distinct(b.topics))) AS double) >= 0.60e0"
     q["missing"] = f"""SELECT a.graph_id, b.id AS source_id, a.id AS target_id, 'supersedes' AS type, 1.00e0 AS confidence, 'superseded_by metadata' AS reason FROM nodes a JOIN nodes b ON b.graph_id = a.graph_id AND b.id = a.superseded_by WHERE a.id <> b.id AND {lacks('a.id', 'b.id', 'supersedes')}
         UNION ALL SELECT a.graph_id, a.id, b.id, 'same-question', 0.70e0, 'topic overlap in same community' FROM nodes a JOIN nodes b ON b.graph_id = a.graph_id AND a.community_id = b.community_id AND a.id < b.id WHERE a.community_id <> '' AND {overlap} AND {both('same-question')}
         UNION ALL SELECT a.graph_id, a.a, a.b, 'duplicate', 0.90e0, 'title similarity' FROM ({_similar(ASCII)}) a WHERE {both('duplicate').replace('a.id', 'a.a').replace('b.id', 'a.b')}

@@ -28,10 +28,14 @@ class Corpus:
     edges: DataFrame
     candidates: DataFrame
     now_year: int
+    corrupt: DataFrame | None = None
 
 
 def validation_errors(c: Corpus) -> DataFrame:
-    """graph or query, error and id of everything that makes a request invalid."""
+    """scope (a graph or query), error and id of everything that makes a request invalid.
+
+    Only ids are read; a graph that several queries share is looked at once.
+    """
     blank = c.nodes.where("trim(id) = ''").selectExpr("cast(graph_id AS string) AS scope", "'node is missing id' AS error", "id")
     twice = c.nodes.groupBy("graph_id", "id").count().where("count > 1").selectExpr("cast(graph_id AS string) AS scope", "'duplicate node id' AS error", "id")
     ids = c.nodes.select("graph_id", "id")
@@ -45,6 +49,13 @@ def validation_errors(c: Corpus) -> DataFrame:
     return out
 
 
+def invalid(c: Corpus) -> DataFrame:
+    """query_id and error (the first by name) of queries that are invalid, or whose graph is."""
+    keys = c.queries.selectExpr("query_id", "explode(array_distinct(array(cast(query_id AS string), cast(graph_id AS string)))) AS scope")
+    errors = validation_errors(c).groupBy("scope").agg(F.min("error").alias("error"))
+    return keys.join(errors, "scope").groupBy("query_id").agg(F.min("error").alias("error"))
+
+
 class Analysis:
     """Lazy tables of a corpus; each is built once, and shared by rank, pack and hygiene."""
 
@@ -150,12 +161,26 @@ class Analysis:
 
     @cached_property
     def asked(self) -> DataFrame:
-        return self.corpus.queries.select("query_id", "graph_id", "allow_degraded").join(self.recommendations, "query_id")
+        q = self.corpus.queries
+        own = ["request_id"] if "request_id" in q.columns else []
+        return q.select("query_id", "graph_id", "allow_degraded", *own).join(self.recommendations, "query_id")
 
     @cached_property
     def plans(self) -> DataFrame:
         return packing.plans(self.asked, self.slots, self.left_out, self.trails)
 
+    @cached_property
+    def storable(self) -> DataFrame:
+        """Plans with all that memory keeps of them: slots with text, version, reasons and trail."""
+        hops = self.trails.groupBy("query_id", "index").agg(F.array_sort(F.collect_list(F.struct("place", "node_id", "edge_type", "confidence"))).alias("hops"))
+        texts = self.corpus.nodes.select("graph_id", "id", "text")
+        rows = self.slots.withColumn("rationale", F.expr(f"array_join({ranking.rationale()}, '; ')")).join(texts, ["graph_id", "id"]).join(hops, ["query_id", "index"], "left")
+        rows = rows.withColumn("source_trail", F.expr("transform(hops, h -> named_struct('node_id', h.node_id, 'edge_type', h.edge_type, 'confidence', h.confidence))"))
+        columns = ["index", F.col("id").alias("node_id"), "version", "community_id", F.col("tokens").alias("token_count"), "slot_type", "role", "title", "text", F.col("total").alias("score"), "position", "must_cite", "rationale", "source_trail"]
+        slots = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("slots"))
+        plans = self.plans.select("query_id", "query_type", "signal", "suppressed", "suppressed_by_reason", "critique_summary")
+        return plans.join(slots, "query_id").join(self.asked.select("query_id", "graph_id"), "query_id")
+
     @cached_property
     def hygiene_flags(self) -> DataFrame:
         return hygiene.flags(self.rows, self.edges)
@@ -171,17 +196,21 @@ class Analysis:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """One row a query: recommendation, plan with its final signal, and status.
+        """One row a query: recommendation, plan with its final signal, status and error.
 
         A green plan takes the graph's signal; its summary stays. status: ok,
-        access-denied-only (nothing ranked) or red-signal (red and not allowed to be).
+        invalid-candidates (error says why; there is no plan), access-denied-only (nothing
+        ranked) or red-signal (red and not allowed to be).
         """
         ranked = self.ranked.groupBy("query_id").agg(F.count("*").alias("n_ranked"))
         denied = self.rank_suppressed.groupBy("query_id").agg(F.count("*").alias("n_denied"))
         graph_signal = hygiene.scores(self.hygiene_flags).selectExpr("query_id", "signal AS graph_signal")
         rows = self.plans.join(self.asked.drop("query_type"), "query_id")
-        for extra in (ranked, denied, graph_signal):
+        for extra in (ranked, denied, graph_signal, invalid(self.corpus)):
             rows = rows.join(extra, "query_id", "left")
         rows = rows.withColumn("signal", F.expr("CASE WHEN signal = 'green' THEN coalesce(graph_signal, 'green') ELSE signal END"))
-        status = "CASE WHEN coalesce(n_ranked, 0) = 0 AND coalesce(n_denied, 0) > 0 THEN 'access-denied-only' WHEN signal = 'red' AND NOT allow_degraded THEN 'red-signal' ELSE 'ok' END"
-        return rows.withColumn("status", F.expr(status)).drop("graph_signal", "n_ranked", "n_denied")
+        status = "CASE WHEN error IS NOT NULL THEN 'invalid-candidates' WHEN coalesce(n_ranked, 0) = 0 AND coalesce(n_denied, 0) > 0 THEN 'access-denied-only' WHEN signal = 'red' AND NOT allow_degraded THEN 'red-signal' ELSE 'ok' END"
+        rows = rows.withColumn("status", F.expr(status)).drop("graph_signal", "n_ranked", "n_denied")
+        # An invalid request has no plan.
+        own = [c for c in ("slots", "suppressed", "suppressed_by_reason", "source_trail", "evidence_path", "tokens_used", "critique_summary", "plan_hash", "signal") if c in rows.columns]
+        return rows.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in own})

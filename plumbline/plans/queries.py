@@ -121,17 +121,6 @@ def _(a: Analysis) -> DataFrame:
     return access.redact_for_reranker(a.rank_rows, edges, a.corpus.candidates)[1].select("query_id", "source_id", "target_id", "type")
 
 
-@query("rbac_clearance", f"SELECT event_type, user_id, CASE event_id % 7 {' '.join(f'WHEN {i} THEN {x.quote(c)}' for i, c in enumerate(v.CLEARANCE_OF_ROLE.values()))} ELSE 'public' END AS clearance, count(*) AS n FROM events GROUP BY ALL")
-def _(a: Analysis) -> DataFrame:
-    raise NotImplementedError  # replaced in run(): it reads events
-
-
-@query("star_centrality", """SELECT id, round(least(1.0e0, raw / max(raw) OVER ()) * 1000000.0e0) / 1000000.0e0 AS centrality, degree FROM (
-    SELECT id, sum(w) AS raw, count(*) AS degree FROM (SELECT t AS id, w FROM star_edges UNION ALL SELECT s, 0.65e0 * w FROM star_edges) GROUP BY id)""", "star_edges")
-def _(a: Analysis) -> DataFrame:
-    raise NotImplementedError  # replaced in run(): it reads orders and lineitem
-
-
 @query("title_pairs", f"SELECT graph_id, a, b, {six('similarity')} FROM pairs", "pairs")
 def _(a: Analysis) -> DataFrame:
     return graph.similar_titles(a.corpus.nodes, x.title_words("title", SPARK)).selectExpr("graph_id", "a", "b", six("similarity"))
@@ -181,44 +170,92 @@ def _(a: Analysis) -> DataFrame:
 
 def stored_plans(a: Analysis) -> DataFrame:
     """The derived plans, as a memory table."""
-    slot = F.struct(F.col("index"), F.col("id").alias("node_id"), "version", "community_id", F.col("tokens").alias("token_count"))
-    slots = a.slots.groupBy("query_id", "query_type").agg(F.array_sort(F.collect_list(slot)).alias("slots")).join(packing.signals(a.asked, a.slots), "query_id")
-    return memory.records(slots, "2026-01-01T00:00:00Z")
+    return memory.records(a.storable, "2026-01-01T00:00:00Z")
+
+
+#: Who reads the stored plans, as SQL of what the caller may see of a node.
+CALLER = {"clearance": "internal", "caller_tenant": "acme", "trusted_approvers": ["ops"]}
+SEEN = "(tenant_id IN ('', 'acme') AND sensitivity IN ('public', 'internal') AND NOT (chunk_type IN ('permission-record', 'decision', 'procedure') AND len(approved_by) = 0))"
+TOPIC_LIST = "['lang-0', 'lang-1', 'lang-2']"
+
+
+def _jaccard(topics: str, wanted: str) -> str:
+    """Of two lists of distinct lower-case topics."""
+    return f"(CASE WHEN len({topics}) = 0 AND len({wanted}) = 0 THEN 1.0e0 ELSE len(list_intersect({topics}, {wanted})) / cast(len(list_distinct(list_concat({topics}, {wanted}))) AS double) END)"
 
 
 @query("memory_hash", "SELECT query_id, array_to_string(topics, ',') AS topics, plan_hash FROM stored", "stored")
 def _(a: Analysis) -> DataFrame:
-    return stored_plans(a).selectExpr("query_id", "array_join(topics, ',') AS topics", "plan_hash")
+    return stored_plans(a).selectExpr("cast(query_id AS bigint) AS query_id", "array_join(topics, ',') AS topics", "plan_hash")
+
+
+@query("memory_store", """SELECT s.query_id, cast(count(*) AS int) AS slots, string_agg(s.id, '>' ORDER BY idx) AS path, cast(sum(tokens) AS bigint) AS tokens_used, sum(length(s.text)) AS characters, cast((SELECT count(*) FROM left_out o WHERE o.query_id = s.query_id) AS int) AS suppressed,
+    string_agg(concat(s.id, '=', version), ',' ORDER BY s.id) AS versions FROM slots s JOIN signals g ON g.query_id = s.query_id WHERE g.signal <> 'red' GROUP BY s.query_id""", "slots", "signals", "left_out")
+def _(a: Analysis) -> DataFrame:
+    return stored_plans(a).selectExpr(
+        "cast(query_id AS bigint) AS query_id", "size(slots) AS slots", "array_join(evidence_path, '>') AS path", "tokens_used", "aggregate(slots, 0L, (n, s) -> n + length(s.text)) AS characters", "size(suppressed) AS suppressed",
+        "array_join(transform(array_sort(map_entries(node_versions)), e -> concat(e.key, '=', e.value)), ',') AS versions",
+    )
 
 
-@query("memory_similar", """SELECT query_id, round(similarity * 1000000.0e0) / 1000000.0e0 AS similarity FROM (
-    SELECT query_id, len(list_intersect(topics, ['lang-0', 'lang-1', 'lang-2'])) / cast(len(list_distinct(list_concat(topics, ['lang-0', 'lang-1', 'lang-2']))) AS double) AS similarity FROM stored) WHERE similarity >= 0.70e0
-    AND query_id NOT IN (SELECT query_id FROM slots WHERE superseded_by <> '')""", "stored", "slots")
+@query("memory_similar", f"""SELECT p.query_id, round(p.similarity * 1000000.0e0) / 1000000.0e0 AS similarity, coalesce(k.path, '') AS path, coalesce(k.tokens, 0) AS tokens_used FROM (
+    SELECT query_id, {_jaccard('topics', TOPIC_LIST)} AS similarity FROM stored) p LEFT JOIN (
+    SELECT query_id, string_agg(id, '>' ORDER BY idx) AS path, cast(sum(tokens) AS bigint) AS tokens, bool_or(superseded_by <> '') AS outdated, list_distinct(list(lower(community_id)) FILTER (community_id <> '')) AS topics FROM slots WHERE {SEEN} GROUP BY query_id) k ON k.query_id = p.query_id
+    WHERE p.similarity >= 0.70e0 AND {_jaccard('coalesce(k.topics, [])', TOPIC_LIST)} >= 0.70e0 AND NOT coalesce(k.outdated, false)""", "stored", "slots")
 def _(a: Analysis) -> DataFrame:
-    return memory.similar(stored_plans(a), ["Lang-0", "lang-1 ", "lang-2"], a.corpus.nodes).selectExpr("query_id", six("similarity"))
+    found = memory.similar(stored_plans(a), ["Lang-0", "lang-1 ", "lang-2"], a.corpus.nodes, CALLER)
+    return found.selectExpr("cast(query_id AS bigint) AS query_id", six("similarity"), "array_join(evidence_path, '>') AS path", "tokens_used")
 
 
-@query("memory_regate", """SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS int) AS place, id FROM slots WHERE tenant_id IN ('', 'acme') AND sensitivity IN ('public', 'internal')
-    AND NOT (chunk_type IN ('permission-record', 'decision', 'procedure') AND len(approved_by) = 0) AND query_id IN (SELECT query_id FROM signals WHERE signal <> 'red')""", "slots", "signals")
+@query("memory_regate", f"""SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1 AS int) AS place, id FROM slots WHERE {SEEN} AND query_id IN (SELECT query_id FROM signals WHERE signal <> 'red')""", "slots", "signals")
 def _(a: Analysis) -> DataFrame:
-    kept, _ = memory.regated(stored_plans(a), a.corpus.nodes, {"clearance": "internal", "caller_tenant": "acme", "trusted_approvers": ["ops"]})
-    return kept.selectExpr("query_id", "`index` AS place", "id")
+    kept, _ = memory.regated(stored_plans(a), a.corpus.nodes, CALLER)
+    return kept.selectExpr("cast(query_id AS bigint) AS query_id", "`index` AS place", "id")
+
 
+#: What is asked for of each stored plan, and how its nodes have changed since: so that every reason comes up.
+ASKED_TYPE = "CASE WHEN query_id % 5 = 1 THEN 'Relational' WHEN query_type = 'Factual' AND query_id % 5 = 2 THEN 'Agentic' ELSE query_type END"
+CHANGED = "CASE WHEN doc_id % 23 = 3 THEN 'changed' ELSE version END"
+REPLACED = "CASE WHEN doc_id % 19 = 5 THEN 'later' ELSE superseded_by END"
 
-@query("graphrag_import", f"""SELECT 'node' AS kind, id, chunk_type AS type, trust, token_count, 0.0e0 AS confidence FROM (
-    SELECT id, 'document' AS chunk_type, 0.75e0 AS trust, cast(0 AS bigint) AS token_count FROM nodes WHERE g % 3 = 0 UNION ALL SELECT concat('u', id), 'chunk', 0.75e0, token_count FROM nodes WHERE g % 3 = 0 UNION ALL SELECT id, 'entity', 0.75e0, 0 FROM nodes WHERE g % 3 = 1)
-    UNION ALL SELECT 'edge', concat(source_id, '>', target_id), 'related-to', 0.0e0, 0, CASE WHEN confidence <= 0 OR confidence > 1 THEN 1.0e0 ELSE confidence END FROM raw_edges""", "nodes", "raw_edges")
+
+@query("memory_reuse", f"""SELECT query_id, CASE WHEN NOT (query_type = asked OR (query_type = 'Factual' AND asked = 'Agentic')) THEN 'query-type' WHEN {_jaccard('topics', 'wanted')} < 0.70e0 THEN 'topic-mismatch' WHEN worst IS NOT NULL THEN split_part(worst, '|', 2) WHEN unseen > 0 THEN 'access-control' ELSE '' END AS reason
+    FROM (SELECT p.query_id, p.query_type, p.topics, {ASKED_TYPE.replace('query_id', 'p.query_id').replace('query_type', 'p.query_type')} AS asked, CASE WHEN p.query_id % 7 = 3 THEN ['elsewhere'] ELSE p.topics END AS wanted FROM stored p) p
+    JOIN (SELECT query_id AS q, min(CASE WHEN {CHANGED} <> version THEN concat(id, '|version-mismatch') WHEN {REPLACED} <> '' THEN concat(id, '|superseded') END) AS worst, count(*) FILTER (NOT {SEEN}) AS unseen FROM slots GROUP BY query_id) s ON s.q = p.query_id""", "stored", "slots")
+def _(a: Analysis) -> DataFrame:
+    stored = stored_plans(a)
+    asked = stored.selectExpr("query_id", "CASE WHEN query_id % 7 = 3 THEN array('elsewhere') ELSE topics END AS topics", f"{ASKED_TYPE} AS query_type")
+    now = a.corpus.nodes.withColumn("version", F.expr(CHANGED)).withColumn("superseded_by", F.expr(REPLACED))
+    return memory.rejections(stored, asked, now, CALLER).selectExpr("cast(query_id AS bigint) AS query_id", "coalesce(reason, '') AS reason")
+
+
+#: The seven tables of an export, of all documents: each is a document, a text unit and an
+#: entity; topics are communities with a report; every text unit makes a claim.
+STATUS = ("", "negative", "true", "disputed")
+
+
+@query("graphrag_import", """SELECT 'node' AS kind, id, chunk_type AS type, title, trust, token_count, observed_at, 0.0e0 AS confidence FROM (
+    SELECT id, 'document' AS chunk_type, title, 0.75e0 AS trust, cast(0 AS bigint) AS token_count, cast(year AS varchar) AS observed_at FROM nodes UNION ALL SELECT concat('u', id), 'chunk', concat('u', id), 0.75e0, token_count, cast(year AS varchar) FROM nodes
+    UNION ALL SELECT concat('e', id), 'entity', title, 0.75e0, 0, '' FROM nodes UNION ALL SELECT concat('r', first), 'community-summary', community_id, 0.75e0, 0, '' FROM (SELECT community_id, graph_id, min(id) AS first, list(id) AS ids FROM nodes GROUP BY ALL) UNION ALL SELECT concat('v', id), 'claim', concat('v', id), 0.75e0, 0, '' FROM nodes)
+    UNION ALL SELECT 'edge', concat(source_id, '>', target_id), 'related-to', '', 0.0e0, 0, '', CASE WHEN confidence <= 0 OR confidence > 1 THEN 1.0e0 ELSE confidence END FROM raw_edges
+    UNION ALL SELECT 'edge', concat('u', id, '>v', id), CASE WHEN g % 4 IN (1, 3) THEN 'evidence-against' ELSE 'evidence-for' END, '', 0.0e0, 0, '', 1.0e0 FROM nodes
+    UNION ALL SELECT 'edge', concat(prefix, id, '>', CASE WHEN length(community_id) % 2 = 0 THEN concat('r', first) ELSE concat('c', first) END), 'community-member-of', '', 0.0e0, 0, '', 0.8e0 FROM (SELECT community_id, first, unnest(ids) AS id FROM (SELECT community_id, graph_id, min(id) AS first, list(id) AS ids FROM nodes GROUP BY ALL)) CROSS JOIN (SELECT 'e' AS prefix UNION ALL SELECT 'u')""", "nodes", "raw_edges")
 def _(a: Analysis) -> DataFrame:
     n = a.corpus.nodes
+    grouped = n.groupBy("community_id", "graph_id").agg(F.min("id").alias("first"), F.collect_list("id").alias("ids"))
+    status = "get(array(" + ", ".join(f"'{s}'" for s in STATUS) + "), cast(g % 4 AS int))"
     tables = {
-        "documents": n.where("g % 3 = 0").select("id", "title", "text"),
-        "text_units": n.where("g % 3 = 0").selectExpr("concat('u', id) AS id", "id AS document_id", "text", "cast(token_count AS int) AS n_tokens"),
-        "entities": n.where("g % 3 = 1").selectExpr("id", "title", "text AS description"),
+        "documents": n.selectExpr("id", "title", "text", "cast(year AS string) AS period"),
+        "text_units": n.selectExpr("concat('u', id) AS id", "id AS document_id", "text", "cast(token_count AS int) AS n_tokens", "community_id", "concat(year, '-01-01T00:00:00.0Z') AS period"),
+        "entities": n.selectExpr("concat('e', id) AS id", "title", "text AS description", "community_id"),
         "relationships": a.corpus.edges.selectExpr("source_id", "target_id", "confidence AS weight"),
+        "community_reports": grouped.selectExpr("concat('r', first) AS id", "community_id AS community", "community_id AS title", "first AS summary", "0.5e0 AS rank"),
+        "communities": grouped.selectExpr("concat('c', first) AS id", "transform(ids, i -> concat('e', i)) AS entity_ids", "transform(ids, i -> concat('u', i)) AS text_unit_ids", "CASE WHEN length(community_id) % 2 = 0 THEN concat('r', first) ELSE '' END AS report_id"),
+        "covariates": n.selectExpr("concat('v', id) AS id", "concat('u', id) AS text_unit_id", "title AS claim", f"{status} AS status", "array(concat('u', id)) AS evidence_ids"),
     }
     nodes, edges = graphrag.mapped(tables)
-    rows = nodes.selectExpr("'node' AS kind", "id", "chunk_type AS type", "trust", "cast(token_count AS bigint) AS token_count", "0.0e0 AS confidence")
-    return rows.unionByName(edges.selectExpr("'edge' AS kind", "concat(source_id, '>', target_id) AS id", "type", "0.0e0 AS trust", "0L AS token_count", "confidence"))
+    rows = nodes.selectExpr("'node' AS kind", "id", "chunk_type AS type", "title", "trust", "cast(token_count AS bigint) AS token_count", "coalesce(date_format(observed_at, 'yyyy'), '') AS observed_at", "0.0e0 AS confidence")
+    return rows.unionByName(edges.selectExpr("'edge' AS kind", "concat(source_id, '>', target_id) AS id", "type", "'' AS title", "0.0e0 AS trust", "0L AS token_count", "'' AS observed_at", "confidence"))
 
 
 @query("lightrag_import", f"""SELECT id, CASE WHEN g % 2 = 0 THEN 'lightrag-local' ELSE 'lightrag-global' END AS mode, CASE WHEN g % 2 = 0 THEN 'entity' ELSE 'community-summary' END AS chunk_type, {x.clamp('g % 15 / 10.0e0')} AS query_relevance FROM nodes""", "nodes")
@@ -248,6 +285,11 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(F.broadcast(top)).selectExpr("id", f"{x.rounded('least(1.0e0, raw / top)', 6)} AS centrality", "degree")
 
 
+RBAC_SQL = f"SELECT event_type, user_id, CASE event_id % 7 {' '.join(f'WHEN {i} THEN {x.quote(c)}' for i, c in enumerate(v.CLEARANCE_OF_ROLE.values()))} ELSE 'public' END AS clearance, count(*) AS n FROM events GROUP BY ALL"
+STAR_SQL = """SELECT id, round(least(1.0e0, raw / max(raw) OVER ()) * 1000000.0e0) / 1000000.0e0 AS centrality, degree FROM (
+    SELECT id, sum(w) AS raw, count(*) AS degree FROM (SELECT t AS id, w FROM star_edges UNION ALL SELECT s, 0.65e0 * w FROM star_edges) GROUP BY id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: (lambda s, d, run=run: run(analysis(s, d))) for name, (run, _, _) in _made.items()}
     return found | {"rbac_clearance": _rbac, "star_centrality": _star}
@@ -255,6 +297,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: oracles.sql(select, *needs) for name, (_, select, needs) in _made.items()}
-    found["rbac_clearance"] = _made["rbac_clearance"][1]
-    found["read_queue"] = oracles.read_queue()
-    return found
+    return found | {"rbac_clearance": RBAC_SQL, "star_centrality": oracles.sql(STAR_SQL, "star_edges"), "read_queue": oracles.read_queue()}

@@ -14,6 +14,8 @@ ITEM = "id string, title string, authors array<string>, source string, year int,
 EDGE = "source_id string, target_id string, type string, confidence double, note string"
 GOAL = "prompt string, topics array<string>, familiarity int, energy string, time_minutes int, desired_depth string"
 SLUG_BYTES = 28
+#: Rows that one task numbers; monotonically increasing ids leave gaps only between partitions.
+STRETCH = 1 << 20
 
 
 def _struct(fields: str) -> str:
@@ -58,8 +60,8 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Items and edges by the file's extension, or by its first sign."""
-    head = spark.read.text(path, wholetext=True).select(F.expr("left(trim(value), 1) AS c")).first()
-    if head is None or head["c"] == "":
+    head = spark.read.text(path).select(F.expr("left(trim(value), 1) AS c")).where("c <> ''").first()
+    if head is None:
         raise ValueError("empty backlog")
     if os.path.splitext(path)[1].lower() == ".json" or head["c"] == "{":
         return read_json(spark, path)[:2]
@@ -67,17 +69,30 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def slug() -> str:
-    """An id from a title and a row's place (from 1), cut by bytes."""
+    """An id from a title and a row's place (from 1), cut to the whole characters of SLUG_BYTES bytes."""
     words = f"array_join({x.title_words('title', SPARK)}, '-')"
-    cut = f"decode(substring(encode({words}, 'UTF-8'), 1, {SLUG_BYTES}), 'UTF-8')"
+    cut = f"substring({words}, 1, aggregate(sequence(1, {SLUG_BYTES}), 0, (n, i) -> CASE WHEN octet_length(substring({words}, 1, i)) <= {SLUG_BYTES} THEN i ELSE n END))"
     return f"concat(CASE WHEN {words} = '' THEN 'item' ELSE {cut} END, '-', place)"
 
 
+def placed(items: DataFrame) -> DataFrame:
+    """items with place (from 1) in the order of pos, a long.
+
+    pos is dense within a stretch of STRETCH, or nearly so; stretches are counted, and only
+    within one of them rows are numbered in one task.
+    """
+    rows = items.withColumn("stretch", F.expr(f"cast(pos AS bigint) div {STRETCH}"))
+    sizes = rows.groupBy("stretch").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = Window.partitionBy("stretch").orderBy("pos")
+    return rows.withColumn("at", F.row_number().over(own)).join(before, "stretch").withColumn("place", (F.col("before") + F.col("at")).cast("int")).drop("stretch", "before", "at")
+
+
 def normalised(items: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Defaults and limits of items (with pos, their place in the input) and edges."""
     for name in ("id", "title", "source", "type", "url", "status", "notes", "energy", "density"):
         items = items.withColumn(name, F.coalesce(F.col(name), F.lit("")))
-    items = items.withColumn("place", F.row_number().over(Window.orderBy("pos"))) if "place" not in items.columns else items
+    items = placed(items) if "place" not in items.columns else items
     out = items.selectExpr(
         "CASE WHEN trim(id) = '' THEN " + slug() + " ELSE trim(id) END AS id", "title", "coalesce(authors, cast(array() AS array<string>)) AS authors", "source", "coalesce(year, 0) AS year", "type", "url",
         "CASE WHEN coalesce(length_minutes, 0) = 0 THEN 45 ELSE length_minutes END AS length_minutes", "CASE WHEN coalesce(difficulty, 0) = 0 THEN 3 ELSE greatest(1, least(5, difficulty)) END AS difficulty",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import expressions as x
+from plumbline.operators.graph import cut
 from plumbline.plans.pipeline import Corpus
 
 HOP = "struct<node_id: string, edge_type: string, confidence: double>"
@@ -34,24 +35,47 @@ def filled_nodes(nodes: DataFrame) -> DataFrame:
     return out
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_requests(spark: SparkSession, path: str, strict: bool = False, multiline: bool = False) -> DataFrame:
-    """Requests in the reading order of their lines. strict: what doesn't parse is an error."""
-    return spark.read.schema(REQUEST).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path, multiLine=multiline)
+    """Requests in the reading order of their lines, and in a last column the lines that don't
+    parse. strict: these are an error."""
+    return spark.read.schema(f"{REQUEST}, {CORRUPT} string").option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path, multiLine=multiline)
+
+
+def keyed(requests: DataFrame) -> DataFrame:
+    """requests with query_id unique; request_id is the id that they came with.
+
+    The key is the request's own id where no other has it; where it is missing or occurs
+    again, the row's place follows after a '#'. Rows are cut first, so that places stay.
+    """
+    rows = requests.withColumn("request_id", F.coalesce("query_id", F.lit(""))).withColumn("place", F.monotonically_increasing_id())
+    rows = cut(rows)
+    again = rows.where("request_id <> ''").groupBy("request_id").agg(F.count("*").alias("n")).where("n > 1").select("request_id", F.lit(True).alias("again"))
+    rows = rows.join(again, "request_id", "left")
+    return rows.withColumn("query_id", F.expr("CASE WHEN request_id = '' OR again THEN concat(request_id, '#', place) ELSE request_id END")).drop("again", "place")
 
 
 def corpus(requests: DataFrame, now_year: int) -> Corpus:
-    """The tables of requests that bring their own graphs; a query's graph is its own."""
-    rows = requests.withColumn("query_id", F.coalesce("query_id", F.lit(""))).withColumn("query", F.coalesce("query", F.lit("")))
+    """The tables of requests that bring their own graphs; a query's graph is its own.
+
+    Lines that don't parse are no requests; Corpus.corrupt holds them.
+    """
+    has_corrupt = CORRUPT in requests.columns
+    rows = keyed(requests).withColumn("query", F.coalesce("query", F.lit("")))
+    corrupt = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record")) if has_corrupt else None
+    rows = rows.where(F.col(CORRUPT).isNull()) if has_corrupt else rows
     attribute = lambda name: f"coalesce(access.attributes['{name}'], '')"
     queries = rows.selectExpr(
-        "query_id", "query_id AS graph_id", "query", "coalesce(access.clearance, '') AS clearance", f"{attribute('tenant_id')} AS caller_tenant",
+        "query_id", "request_id", "query_id AS graph_id", "query", "coalesce(access.clearance, '') AS clearance", f"{attribute('tenant_id')} AS caller_tenant",
         "coalesce(access.trusted_approvers, cast(array() AS array<string>)) AS trusted_approvers", f"{attribute('allow_unapproved_agentic_nodes')} = 'true' AS allow_unapproved",
         f"{attribute('query_type')} AS attribute_type", "coalesce(query_type, '') AS query_type", "coalesce(token_budget, 0) AS token_budget", "coalesce(allow_degraded_plan, false) AS allow_degraded",
     )
-    nodes = filled_nodes(rows.selectExpr("query_id AS graph_id", "inline(nodes)"))
-    edges = rows.selectExpr("query_id AS graph_id", "inline(edges)").selectExpr("graph_id", "source_id", "target_id", "coalesce(type, '') AS type", "coalesce(confidence, 0.0e0) AS confidence", "coalesce(note, '') AS note")
-    candidates = rows.select("query_id", F.posexplode("candidates").alias("pos", "c")).selectExpr("query_id", "c.node_id AS node_id", "cast(pos AS bigint) AS pos", "coalesce(c.query_relevance, 0.0e0) AS query_relevance")
-    return Corpus(queries, nodes, edges, candidates, now_year)
+    nodes = filled_nodes(rows.selectExpr("query_id AS graph_id", "inline(nodes)").withColumn("id", F.coalesce("id", F.lit(""))))
+    edges = rows.selectExpr("query_id AS graph_id", "inline(edges)").selectExpr("graph_id", "coalesce(source_id, '') AS source_id", "coalesce(target_id, '') AS target_id", "coalesce(type, '') AS type", "coalesce(confidence, 0.0e0) AS confidence", "coalesce(note, '') AS note")
+    candidates = rows.select("query_id", F.posexplode("candidates").alias("pos", "c")).selectExpr("query_id", "coalesce(c.node_id, '') AS node_id", "cast(pos AS bigint) AS pos", "coalesce(c.query_relevance, 0.0e0) AS query_relevance")
+    return Corpus(queries, nodes, edges, candidates, now_year, corrupt)
 
 
 def clamped(candidates: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def read_parquet(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame,
 
 
 def period(column: str = "period") -> str:
-    return f"""coalesce(try_to_timestamp({column}, "yyyy-MM-dd'T'HH:mm:ssXXX"), try_to_timestamp({column}, 'yyyy-MM-dd'), try_to_timestamp({column}, 'yyyy-MM'), try_to_timestamp({column}, 'yyyy'))"""
+    return f"""coalesce(try_to_timestamp({column}, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX"), try_to_timestamp({column}, 'yyyy-MM-dd'), try_to_timestamp({column}, 'yyyy-MM'), try_to_timestamp({column}, 'yyyy'))"""
 
 
 def mapped(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

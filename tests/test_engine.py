@@ -291,23 +291,144 @@ def test_missing_edge_rules(spark):
     assert {("exception", "policy", "same-question", 0.7), ("exception", "policy", "exception-to", 0.55), ("policy", "summary", "community-member-of", 0.8), ("dupe-a", "dupe-b", "duplicate", 0.9), ("new", "old", "supersedes", 1.0)} <= got
 
 
-def test_memory(spark, tmp_path):
-    slots = [(0, "n1", "v1", "Topic-A", 10), (1, "n2", "v2", "topic-b", 20)]
-    plans = spark.createDataFrame([("q1", "Factual", "green", slots), ("q2", "Factual", "red", slots)], f"query_id string, query_type string, signal string, slots array<struct<{'index: int, node_id: string, version: string, community_id: string, token_count: bigint'}>>")
-    path = str(tmp_path / "memory")
+SLOT = "index: int, node_id: string, version: string, community_id: string, token_count: bigint, text: string"
+CLEAR = {"clearance": "restricted"}
+
+
+def memory_plans(spark, *more):
+    slots = [(0, "n1", "v1", "Topic-A", 10, "first text"), (1, "n2", "v2", "topic-b", 20, "second text")]
+    other = [(0, "n1", "v1", "elsewhere", 10, ""), (1, "n2", "v2", "other", 20, "")]
+    rows = [("q1", "Factual", "green", slots), ("q2", "Factual", "red", slots), ("q3", "Procedural", "green", other), *more]
+    return spark.createDataFrame(rows, f"query_id string, query_type string, signal string, slots array<struct<{SLOT}>>")
+
+
+def current(spark, **changes):
+    """n1 and n2 as they are now."""
+    base = {"version": "", "sensitivity": "internal", "superseded_by": ""}
+    rows = [(i, *({**base, "version": v} | changes.get(i, {})).values()) for i, v in (("n1", "v1"), ("n2", "v2"))]
+    return candidates.filled_nodes(spark.createDataFrame(rows, "id string, version string, sensitivity string, superseded_by string"))
+
+
+def test_memory_stores_whole_plans(spark, tmp_path):
+    path, plans = str(tmp_path / "memory"), memory_plans(spark)
     assert memory.load(spark, path).count() == 0
     memory.store(plans, path, "2026-01-01T00:00:00Z", 1)
     memory.store(plans, path, "2026-01-02T00:00:00Z", 2)
     stored = memory.load(spark, path)
-    assert stored.count() == 2 and memory.newest(stored).first()["seq"] == 2
-    nodes = candidates.filled_nodes(spark.createDataFrame([("n1", "v1", "internal"), ("n2", "v3", "restricted")], "id string, version string, sensitivity string"))
-    kept, denied = memory.regated(memory.newest(stored), nodes, {"clearance": "internal"})
-    assert [(r["id"], r["index"]) for r in kept.collect()] == [("n1", 0)] and denied.first()["id"] == "n2"
-    ask = lambda topics, kind: memory.rejections(memory.newest(stored), spark.createDataFrame([("q1", topics, kind)], "query_id string, topics array<string>, query_type string"), nodes).first()["reason"]
-    assert [ask(["topic-a", "topic-b"], "Temporal"), ask(["topic-a"], "Agentic"), ask(["topic-a", "topic-b"], "Agentic")] == ["query-type", "topic-mismatch", "version-mismatch"]
-    assert memory.similar(stored, ["topic-a", "TOPIC-B"], nodes.where("id = 'n1'")).count() == 2
-    memory.save(spark, path, "q1", plans.where("query_id = 'q1'"), "2026-01-03T00:00:00Z", 3)
-    assert [r["seq"] for r in memory.load(spark, path).collect()] == [3]
+    assert stored.count() == 4 and stored.where("signal = 'red'").count() == 0
+    plan = memory.newest(stored).where("query_id = 'q1'").first()
+    assert (plan["seq"], plan["created_at"], plan["topics"], plan["evidence_path"], plan["tokens_used"], plan["node_versions"]) == (2, "2026-01-02T00:00:00Z", ["topic-a", "topic-b"], ["n1", "n2"], 30, {"n1": "v1", "n2": "v2"})
+    assert [s["text"] for s in plan["slots"]] == ["first text", "second text"] and plan["plan_hash"].startswith("sha256:")
+    memory.save(spark, path, "session", plans.where("query_id = 'q1'"), "2026-01-03T00:00:00Z", 3)
+    memory.save(spark, path, "session", plans.where("query_id = 'q1'"), "2026-01-04T00:00:00Z", 4)
+    rows = memory.session(spark, path, "session", current(spark), CLEAR).collect()
+    assert [(r["plan_query_id"], r["seq"]) for r in rows] == [("q1", 4)] and memory.load(spark, path).count() == 5
+    memory.delete(spark, path, "q1")
+    assert sorted(r["query_id"] for r in memory.load(spark, path).collect()) == ["q3", "q3", "session"]
+
+
+def test_memory_survives_a_broken_replacement(spark, tmp_path):
+    """What a job left without its success file is no version; the old one stays."""
+    path = tmp_path / "memory"
+    memory.store(memory_plans(spark), str(path), "2026-01-01T00:00:00Z", 1)
+    (path / "v=2").mkdir()
+    (path / "v=2/part-0.json").write_text('{"query_id":')
+    assert memory.load(spark, str(path)).count() == 2
+    memory.delete(spark, str(path), "q3")
+    assert [r["query_id"] for r in memory.load(spark, str(path)).collect()] == ["q1"]
+
+
+def test_memory_gates_again(spark):
+    stored, secret = memory.records(memory_plans(spark), "2026-01-01T00:00:00Z"), current(spark, n2={"sensitivity": "restricted"})
+    plan = memory.prior(stored, secret, {"clearance": "internal"}).where("query_id = 'q1'").first()
+    assert [(s["index"], s["node_id"]) for s in plan["slots"]] == [(0, "n1")] and (plan["evidence_path"], plan["tokens_used"], plan["n_stored"]) == (["n1"], 10, 2)
+    assert [(e["node_id"], e["reason"]) for e in plan["suppressed"]] == [("n2", "access-control")] and "second text" not in json.dumps(plan.asDict(recursive=True))
+    seen = lambda topics, nodes, caller: [[s["node_id"] for s in r["slots"]] for r in memory.similar(stored, topics, nodes, caller).collect()]
+    assert seen(["topic-a", "TOPIC-B "], current(spark), CLEAR) == [["n1", "n2"]]
+    # Without the slot that may not be seen, the topics are no longer alike enough.
+    assert seen(["topic-a", "topic-b"], secret, {"clearance": "internal"}) == []
+    assert seen(["topic-a", "topic-b"], current(spark, n1={"superseded_by": "n9"}), CLEAR) == []
+
+
+def test_memory_of_several_graphs(spark):
+    """One id in two graphs: a plan meets the node of its own."""
+    stored = memory.records(memory_plans(spark).where("query_id = 'q1'").withColumn("graph_id", F.lit("g1")), "2026-01-01T00:00:00Z")
+    nodes = current(spark).withColumn("graph_id", F.lit("g1")).unionByName(current(spark, n1={"sensitivity": "restricted"}).withColumn("graph_id", F.lit("g2")))
+    assert [s["node_id"] for s in memory.prior(stored, nodes, {"clearance": "internal"}).first()["slots"]] == ["n1", "n2"]
+
+
+@pytest.mark.parametrize(
+    ("topics", "kind", "changes", "clearance", "reason"),
+    [
+        (["topic-a", "topic-b"], "Temporal", {}, "restricted", "query-type"),
+        (["topic-a"], "Agentic", {}, "restricted", "topic-mismatch"),
+        (["topic-a", "topic-b"], "Agentic", {"n2": {"version": "v3"}, "n1": {"superseded_by": "n9"}}, "restricted", "superseded"),
+        (["topic-a", "topic-b"], "Factual", {"n1": {"version": "v9", "superseded_by": "n9"}}, "restricted", "version-mismatch"),
+        (["topic-a", "topic-b"], "Factual", {"n2": {"sensitivity": "restricted"}}, "internal", "access-control"),
+        (["topic-a", "topic-b"], "Factual", {}, "internal", None),
+    ],
+)
+def test_memory_reuse(spark, topics, kind, changes, clearance, reason):
+    stored = memory.records(memory_plans(spark), "2026-01-01T00:00:00Z")
+    asked = spark.createDataFrame([("q1", topics, kind)], "query_id string, topics array<string>, query_type string")
+    assert memory.rejections(stored, asked, current(spark, **changes), {"clearance": clearance}).first()["reason"] == reason
+
+
+def test_slug_keeps_whole_characters(spark):
+    for title, want in (("Überblick über Märkte und Strömungen", "überblick-über-märkte-und-1"), ("Ää" * 20, "ää" * 7 + "-1"), ("日本語の長い長い題名", "日本語の長い長い題-1"), ("!!", "item-1")):
+        got = one(spark, backlog.slug(), title=f"'{title}'", place="1")
+        assert got == want and len(got.encode()) <= backlog.SLUG_BYTES + 2
+
+
+def test_places_without_a_global_order(spark):
+    rows = spark.range(1000).repartition(7).selectExpr("cast(id AS string) AS title", "id * 4000001 AS pos")
+    got = backlog.placed(rows).collect()
+    assert sorted(r["place"] for r in got) == list(range(1, 1001)) and all(r["place"] == int(r["title"]) + 1 for r in got)
+
+
+@pytest.mark.parametrize(("text", "want"), [("2024-01-02T03:04:05.5Z", "2024-01-02 03:04:05.500000"), ("2024-01-02T03:04:05+01:00", "2024-01-02 02:04:05"), ("2024-01-02", "2024-01-02 00:00:00"), ("2024-03", "2024-03-01 00:00:00"), ("2024", "2024-01-01 00:00:00"), ("", "None"), ("soon", "None")])
+def test_periods(spark, text, want):
+    assert str(one(spark, graphrag.period("p"), p=f"'{text}'")) == want
+
+
+def test_requests_with_one_id_stay_apart(spark, tmp_path):
+    """Without an id, or with that of another, a request keeps its own graph and caller."""
+    secret = {"nodes": [NODE | {"sensitivity": "restricted"}], "access": {"caller_id": "r", "clearance": "restricted"}}
+    low = request(allow_degraded_plan=True)
+    path = tmp_path / "requests.json"
+    nameless = [{k: v for k, v in r.items() if k != "query_id"} for r in (low, low | secret)]
+    path.write_text("".join(json.dumps(r) + "\n" for r in [*nameless, low, low | secret, low | {"query_id": "alone"}]) + '{"query_id": "broken", \n')
+    corpus = candidates.corpus(candidates.read_requests(spark, str(path)), 2026)
+    assert corpus.queries.count() == 5 and corpus.queries.select("query_id").distinct().count() == 5
+    assert [r["record"] for r in corpus.corrupt.collect()] == ['{"query_id": "broken", ']
+    a = Analysis(corpus)
+    rows = a.responses.collect()
+    assert sorted(r["request_id"] for r in rows) == ["", "", "alone", "q", "q"] and "alone" in {r["query_id"] for r in rows}
+    assert all(r["status"] == "ok" and r["evidence_path"] == ["policy"] for r in rows) and a.rank_rows.count() == 5
+    # The hash is that of the request's own id.
+    assert len({r["plan_hash"] for r in rows if r["request_id"] == "q"}) == 1
+
+
+def test_invalid_requests_have_no_plan(spark, tmp_path):
+    lost = request(query_id="lost", candidates=[{"node_id": "policy", "query_relevance": 1}, {"node_id": "gone"}])
+    loose = request(query_id="loose", edges=[{"source_id": "policy", "target_id": "gone", "type": "cites"}])
+    rows = {r["query_id"]: r for r in analysis(spark, tmp_path, lost, loose, request(allow_degraded_plan=True)).responses.collect()}
+    assert [(rows[q]["status"], rows[q]["error"]) for q in ("lost", "loose", "q")] == [("invalid-candidates", "candidate does not match any node"), ("invalid-candidates", "edge target_id does not match any node"), ("ok", None)]
+    assert rows["lost"]["slots"] is None and rows["lost"]["plan_hash"] is None and rows["q"]["slots"]
+
+
+def test_entry_without_the_tokenizers(monkeypatch):
+    """A dependency that is missing costs its own queries only."""
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    for name in [m for m in sys.modules if m.startswith("plumbline.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    found = __spark_entry__.queries()
+    assert "pack_plan" in found and not any(n.startswith("op") and n[2].isdigit() or n == "pipeline" for n in found)
+    assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
 def test_stream_of_requests(spark, tmp_path):

@@ -132,13 +132,14 @@ def units(texts: pa.Array, added: Iterable[str] = ()) -> tuple[np.ndarray, np.nd
 class Memo:
     """Values of texts put together from remembered values of their units.
 
-    values_of gives, for unit strings, one array each. Units are known by a 64-bit hash of
+    values_of gives, for unit strings, all their values in a row and how many each has;
+    whole_of does so for texts that are one unit, by default alike. Units are known by a 64-bit hash of
     their bytes, in an open-addressing table of numpy arrays. The memo is only a cache:
     emptied when it holds most units, it never changes a value.
     """
 
-    def __init__(self, values_of: Callable[[list[str]], list[np.ndarray]], dtype: type, added: Iterable[str] = (), most: int = 1 << 19):
-        self.values_of, self.dtype, self.added, self.most = values_of, dtype, tuple(added), most
+    def __init__(self, values_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type, added: Iterable[str] = (), most: int = 1 << 19, whole_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None):
+        self.values_of, self.whole_of, self.dtype, self.added, self.most = values_of, whole_of or values_of, dtype, tuple(added), most
         self.slots = 1 << (4 * most - 1).bit_length()
         self._clear()
 
@@ -160,9 +161,7 @@ class Memo:
             left, at = left[on], (at[on] + 1) & (self.slots - 1)
         return out
 
-    def _add(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
-        sizes = np.array([len(v) for v in values], np.int32)
-        flat = np.concatenate(values) if values else np.zeros(0, self.dtype)
+    def _add(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
         n, to = self.known, self.known + len(keys)
         if to > len(self.first):
             self.first = np.append(self.first[:n], np.zeros(max(to, 2 * n) - n, np.int64))
@@ -200,14 +199,14 @@ class Memo:
             at = new[at]
             for k in range(0, len(at), 1_000):
                 some = at[k : k + 1_000]
-                self._add(unique[k : k + 1_000], self.values_of([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
+                self._add(unique[k : k + 1_000], *self.values_of([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]))
             entry[new] = self._find(keys[new])
         own = np.flatnonzero(once)
-        extra = self.values_of([raw[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]) if len(own) else []
-        place = np.append(0, np.cumsum([len(x) for x in extra]))
-        begin, size = self.first[entry], self.size[entry].astype(np.int64)
-        begin[own], size[own] = self.used + place[:-1], np.diff(place)
-        pool = np.concatenate([self.pool[: self.used], *extra]) if len(own) else self.pool
+        begin, size, pool = self.first[entry], self.size[entry].astype(np.int64), self.pool
+        if len(own):
+            extra, sizes = self.whole_of([raw[a:b].decode() for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+            begin[own], size[own] = self.used + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([self.pool[: self.used], extra])
         total = np.append(0, np.cumsum(size))
         at = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
         return pool[at], total[first]
@@ -220,7 +219,9 @@ class TokenCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or spec["normalizer"] or pre.get("add_prefix_space"):
+        odd = spec["normalizer"] or pre.get("add_prefix_space") or model.get("ignore_merges") or model.get("byte_fallback") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+        strange = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+        if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or odd or strange:
             raise ValueError(f"{path} isn't a plain byte-level BPE vocabulary")
         self.merger = RankMerger(model["vocab"], model["merges"])
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -228,7 +229,7 @@ class TokenCounter:
         self.pattern = regex.compile(PIECES)
         self.memo = Memo(self._count, np.int64, added)
 
-    def _count(self, parts: list[str]) -> list[np.ndarray]:
+    def _count(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut, extra = [], []
         for part in parts:
             if self.added and (n := len(self.added.findall(part))):
@@ -247,7 +248,7 @@ class TokenCounter:
                 to += 1
             known.update(zip(unique[at:to], self.merger.counts([p.encode() for p in unique[at:to]]).tolist(), strict=True))
             at = to
-        return list(np.array([[n + sum(map(known.__getitem__, c))] for n, c in zip(extra, cut, strict=True)], np.int64))
+        return np.array([n + sum(map(known.__getitem__, c)) for n, c in zip(extra, cut, strict=True)], np.int64), np.ones(len(cut), np.int64)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of tokens of each text; 0 for null."""

@@ -108,17 +108,84 @@ def test_packing_follows_scores():
     assert sum(a == 1 for a in alike) > len(alike) / 2
 
 
-def test_packing_shards_hold_neighbours(spark):
-    """Copies of one text lie in one shard, though shards are many and ids say nothing."""
+def shared(rows, pairs):
+    """The share of pairs of documents that have a sequence in common."""
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    return sum(bool(of[a] & of[b]) for a, b in pairs) / len(pairs)
+
+
+def test_packing_brings_copies_together(spark):
+    """Equal and near texts share sequences, though shards are many and ids say nothing."""
     rng = random.Random(8)
-    texts = [prose(rng, 60, 3000) for _ in range(120)]
-    rows = [(k * 120 + i, t) for k in range(4) for i, t in enumerate(texts)]
+    texts = [prose(rng, 60, 3000) for _ in range(300)]
+    near = [t.replace(t.split()[30], f"w{rng.randrange(3000)}", 1) for t in texts]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, *near])]
     rows[0] = (0, texts[0] + " " + prose(rng, 2000, 3000))
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, shard_docs=32).collect()
-    shard = {r["doc_id"]: r["sequence_id"] >> packing.SHARD_BITS for r in got}
-    assert len(set(shard.values())) >= 10 and len(shard) == 480
-    same = [shard[i] == shard[k * 120 + i] for i in range(1, 120) for k in (1, 2, 3)]
-    assert sum(same) >= 0.8 * len(same)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, window=1024, shard_docs=32, part_docs=200).collect()
+    assert len({r["sequence_id"] >> packing.PART_BITS for r in got}) >= 3 and {r["doc_id"] for r in got} == set(range(900))
+    assert shared(got, [(i, 300 + i) for i in range(300)]) >= 0.9 and shared(got, [(i, 600 + i) for i in range(300)]) >= 0.8
+
+
+def test_packing_deals_out_hot_rows(spark):
+    """One text and one id, or none, many times: dealt among the parts, each row with its pieces."""
+    rows = [(None if i % 2 else 7, "a b c d") for i in range(900)] + [(1000 + i, f"e{i} f g h") for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, window=64, shard_docs=50, part_docs=100).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] is None or r["doc_id"] == 7) == 900 * 5
+    parts = {}
+    for r in got:
+        if r["start"] == 0:
+            parts[r["sequence_id"] >> packing.PART_BITS] = parts.get(r["sequence_id"] >> packing.PART_BITS, 0) + 1
+    assert len(parts) >= 6 and max(parts.values()) <= 400
+
+
+def brute_bm25(bags, seed):
+    """Scores of all bags (id to count) for one of them."""
+    n, mean = len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+    df = {}
+    for b in bags:
+        for t in b:
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for b in bags:
+        score = 0.0
+        for t, asked in bags[seed].items():
+            if t in b:
+                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
+                norm = packing.K1 * (1 - packing.B + packing.B * sum(b.values()) / mean)
+                score += idf * b[t] * (packing.K1 + 1) / (b[t] + norm) * (packing.K3 + 1) * asked / (packing.K3 + asked)
+        out.append(score)
+    return out
+
+
+def test_packing_against_brute_force():
+    """Scores and the whole greedy filling, document by document; ties go to the first."""
+    rng = np.random.default_rng(1)
+    tails = [rng.zipf(1.3, rng.integers(5, 60)).clip(1, 400).astype("<u4") for _ in range(80)]
+    tails[7] = tails[3].copy()
+    bags = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in tails]
+    index = packing.Index([tuple(np.unique(t, return_counts=True)) for t in tails])
+    for i in range(80):
+        assert index.scores(i) == pytest.approx(brute_bm25(bags, i))
+    left, want, now, room, seed = list(range(80)), [], [], 100, None
+    while left:
+        if seed is None:
+            seed = doc = left[0]
+        else:
+            scores = brute_bm25(bags, seed)
+            doc = min(left, key=lambda d: (-round(scores[d], 9), d))
+        left.remove(doc)
+        at, size = 0, len(tails[doc])
+        if size > room:
+            want.append([*now, (doc, 0, room)])
+            at, now, room, seed = room, [], 100, doc
+        now.append((doc, at, size))
+        room -= size - at
+        if not room:
+            want.append(now)
+            now, room, seed = [], 100, None
+    assert packing.fill(tails, 100) == want + ([now] if now else [])
 
 
 def test_packing_index_holds_whole_texts():

@@ -48,16 +48,16 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u[at : at + 50_000]), pa.array(v[at : at + 50_000])], ["u", "v"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-large")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of these; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.store(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
     linked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -72,8 +72,8 @@ def _all_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, scratch: Scratch, name: str, task_edges: int = TASK_EDGES) -> DataFrame:
     """id and component (the smallest id reachable) of every node of edges (a, b long).
 
-    Nothing but counts reaches the driver. Joins look up aggregated minima, so a node with
-    very many neighbours is one row there.
+    Nothing but counts reaches the driver. Joins look up stored minima, one row a node, so
+    that Spark can split the rows of a node with very many neighbours.
     """
     now = scratch.store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), f"{name}0")
     step, rows = 0, now.count()
@@ -85,8 +85,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, task_edges: int =
         if tasks == 1:
             break
         step += 1
-        now = scratch.store(_small_star(_large_star(now)), f"{name}{step}")
-        scratch.drop(f"{name}{step - 1}")
+        large = scratch.store(_large_star(now, scratch, f"{name}{step}"), f"{name}{step}-both")
+        now = scratch.store(_small_star(large, scratch, f"{name}{step}"), f"{name}{step}")
+        scratch.drop(f"{name}{step - 1}", *(f"{name}{step}-{k}" for k in ("large", "small", "both")))
         rows = now.count()
         if rows > task_edges and _all_stars(now):
             break

@@ -9,7 +9,11 @@ Documents with one shingle set are one node. In each table bucket the members ar
 with the bucket's head alone, on full shingle sets, and the links give components.
 Buckets whose members lie in several components are not cut off: their members are grouped
 by the rarest shingles of each (a prefix that two sets of the wanted similarity must
-share), and the groups' components are compared with each other, block by block.
+share), and the groups' components are compared with each other, block by block, where their
+sets' sizes allow a link.
+
+What is looked up is stored first, so that joins read two plain shuffles, of which Spark
+splits a side where one key is very common; texts meet in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -107,17 +111,18 @@ def _signed(n: int):
 
 
 def _linked(n: int, percent: int):
-    """Pairs whose sets have the similarity, with a row for each pair of texts."""
+    """Links of a head (side 0) and the members that are compared with it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a"):
-                a, b = shingle_sets(part.column("text_a"), n), shingle_sets(part.column("text_b"), n)
-                both, row = np.concatenate([a.shingles, b.shingles]), np.concatenate([a.owner, b.owner])
-                order = np.lexsort((both, row))
-                same = ~(first_of_runs(both[order]) | first_of_runs(row[order]))
-                common = np.bincount(row[order][same], minlength=part.num_rows)
-                yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * (a.sizes + b.sizes - common)))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = sliced_sets(table.column("text").combine_chunks(), n)
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        head = int(np.flatnonzero(side == 0)[0])
+        own = sets.shingles[sets.first[head] : sets.first[head + 1]]
+        at = np.minimum(np.searchsorted(own, sets.shingles), max(len(own) - 1, 0))
+        common = np.bincount(sets.owner[own[at] == sets.shingles], minlength=len(ids))
+        linked = (side == 1) & (100 * common >= percent * (sets.sizes + len(own) - common))
+        return pa.table({"a": pa.array(np.full(linked.sum(), ids[head])), "b": pa.array(ids[linked])})
 
     return run
 
@@ -154,10 +159,14 @@ def _counted(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(n, percent), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (head, node) that are links. A head meets about BLOCK of its members at a time."""
+    sizes = scratch.store(pairs.groupBy("head").agg(F.count("*").alias("n")), "heads")
+    placed = pairs.join(sizes, "head").select("head", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("part"), "node")
+    members = placed.withColumnRenamed("node", "id").withColumn("side", F.lit(1))
+    heads = placed.select("head", "part").distinct().select("head", "part", F.col("head").alias("id"), F.lit(0).alias("side"))
+    met = members.select("head", "part", "id", "side").unionByName(heads).join(texts, "id")
+    return met.groupBy("head", "part").applyInArrow(_linked(n, percent), "a long, b long")
 
 
 def _links_across(n: int, percent: int):
@@ -191,68 +200,63 @@ def _links_across(n: int, percent: int):
     return run
 
 
-def _across(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between components of one group; texts: id, component, group, text.
+def _across(texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between components of one group; texts: id, n, component, group, text.
 
-    A group is cut into blocks of about BLOCK texts: a large component has blocks of its
-    own, smaller ones share blocks. Every two blocks meet in a task of their own, but those
-    of one component; only links come out.
+    A group is cut by the sizes of sets, so that links lie within a size class or between
+    two neighbours, and then into blocks of about BLOCK texts: a large component has blocks of
+    its own, smaller ones share blocks. Every two blocks that can hold a link meet in a task
+    of their own, but those of one component; only links come out.
     """
-    rows = texts.select("group", "component", "id").distinct()
-    sizes = rows.groupBy("group", "component").agg(F.count("*").alias("size"))
-    small = sizes.groupBy("group").agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small"))
-    sizes = sizes.join(small, "group")
+    texts = texts.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
+    group = ["group", "class"]
+    sizes = texts.groupBy(*group, "component").agg(F.count("*").alias("size"))
+    small = sizes.groupBy(*group).agg(F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("small"))
+    sizes = sizes.join(small, group)
     large = F.col("size") >= BLOCK
-    sizes = sizes.select("group", "component", F.when(large, F.col("component")).alias("pure"), F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / BLOCK).alias("parts"))
+    sizes = scratch.store(sizes.select(*group, "component", F.when(large, F.col("component")).alias("pure"), F.ceil(F.when(large, F.col("size")).otherwise(F.col("small")) / BLOCK).alias("parts")), "sizes")
     part = F.when(F.col("pure").isNotNull(), F.pmod(F.xxhash64("id"), "parts")).otherwise(F.pmod(F.xxhash64("component"), "parts"))
-    placed = texts.join(sizes, ["group", "component"]).withColumn("block", F.xxhash64("group", "pure", part))
-    blocks = placed.select("group", "block", "pure").distinct()
-    other = blocks.select("group", F.col("block").alias("other"), F.col("pure").alias("other_pure"))
-    meets = blocks.join(other, "group").where("block <= other AND NOT coalesce(pure = other_pure, false)")
+    placed = texts.join(sizes, [*group, "component"]).withColumn("block", F.xxhash64(*group, "pure", part))
+    placed = scratch.store(placed.select("id", "component", "text", "group", "class", "block", "pure"), "placed")
+    blocks = scratch.store(placed.groupBy("group", "class", "block", "pure").agg(F.min("component").alias("low"), F.max("component").alias("high")), "blocks")
+    # A block meets those of its class from itself on, and all of the next class.
+    other = blocks.select("group", F.explode(F.array("class", F.col("class") - 1)).alias("class"), F.col("class").alias("own"), F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    meets = blocks.join(other, group).where("(own > class OR block <= other) AND NOT (low = high AND other_low = other_high AND low = other_low)")
     meets = meets.select(F.xxhash64("block", "other").alias("meeting"), "block", "other")
     sides = meets.select("meeting", "block", F.when(F.col("block") == F.col("other"), 2).otherwise(0).alias("side"))
-    sides = sides.unionByName(meets.where("block < other").select("meeting", F.col("other").alias("block"), F.lit(1).alias("side")))
+    sides = sides.unionByName(meets.where("block <> other").select("meeting", F.col("other").alias("block"), F.lit(1).alias("side")))
     met = placed.join(sides, "block").select("meeting", "side", "component", "id", "text")
     return met.groupBy("meeting").applyInArrow(_links_across(n, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def groups(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """id, n (size of the shingle set) and component of rows (id, text; ids unique, a stored table).
 
-    Documents are linked if 100 * intersection >= percent * union of their sets of shingle
-    words (lower-cased A-Z). component_id is the smallest id reachable; kept tells whether
-    it is the row's own. A text without words, or null, has an empty set and is alone; so
-    is a row with a null id, whose component is null and which is kept. Rows with one id
-    are one node, with all their texts; an empty table gives an empty one; other columns
-    are not read.
+    component is the smallest id reachable; null for an empty set. Equal sets are one node, so
+    that of any number of copies one takes part in what follows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.store(rows.mapInArrow(_signed(shingle), "id long, n long, k1 long, k2 long, halves array<long>"), "signed")
-    full = signed.where("id IS NOT NULL AND n > 0")
-    nodes = full.groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    known = scratch.store(full.select("id", "n", "k1", "k2").join(nodes, ["k1", "k2"]).select("id", "n", "k1", "k2", "node"), "known")
+    full = signed.where("n > 0")
+    nodes = scratch.store(full.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("halves").alias("halves")), "nodes")
+    known = scratch.store(full.select("id", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"), "known")
 
     # One row for each node and table.
-    firsts = full.join(known.where("id = node").select("id", "k1", "k2").distinct(), ["id", "k1", "k2"], "left_semi")
     tables = F.expr(f"flatten(transform(slice(halves, 1, {M}), x -> transform(slice(halves, {M + 1}, {M}), y -> xxhash64(x, y))))")
-    keys = firsts.select(F.col("id").alias("node"), F.explode(tables).alias("key"))
+    keys = nodes.select("node", F.explode(tables).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch.store(keys.join(sizes, "key").select("key", "node", "n"), "shared")
     # The head of a bucket is its node with the most company over all tables: of a text and
     # its many altered copies, most likely the text that they were made from.
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    heads = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("head"))
+    heads = scratch.store(shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("head")), "bucket_heads")
     members = scratch.store(shared.join(heads, "key").where("node <> head").select("key", "head", "node"), "members")
-    pairs = scratch.store(members.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "pairs")
-    scratch.drop("shared")
-    scratch.release()
-    paired = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    scratch.drop("shared", "bucket_heads")
+    pairs = scratch.store(members.select("head", "node").distinct(), "pairs")
+    paired = pairs.select(F.col("head").alias("id")).unionByName(pairs.select(F.col("node").alias("id"))).distinct()
     # Texts are dealt by id alike at every size, and not sorted.
     texts = scratch.store(rows.join(paired.hint("shuffle_hash"), "id"), "texts")
-    links = scratch.store(_verified(pairs, texts, shingle, percent).distinct(), "links")
-    found = components(links, scratch, "first")
+    links = scratch.store(_verified(pairs, texts, shingle, percent, scratch), "links")
+    found = scratch.store(components(links, scratch, "first"), "found")
 
     # Buckets that hold several components: no pair between these has been left out so far
     # but those with neither at the head.
@@ -260,7 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     of_node = found.select(F.col("id").alias("node"), F.col("component").alias("node_component"))
     placed = members.join(of_head, "head", "left").join(of_node, "node", "left")
     placed = placed.select("key", "head", "node", F.coalesce("head_component", "head").alias("hc"), F.coalesce("node_component", "node").alias("nc"))
-    split = placed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hc") != F.col("nc")).alias("apart")).where("apart AND n > 1").select("key")
+    split = scratch.store(placed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hc") != F.col("nc")).alias("apart")).where("apart AND n > 1").select("key"), "split")
     some = placed.join(split, "key")
     some = some.select(F.col("head").alias("id"), F.col("hc").alias("component")).unionByName(some.select(F.col("node").alias("id"), F.col("nc").alias("component"))).distinct()
     open_texts = scratch.store(texts.join(some, "id"), "open")
@@ -268,15 +272,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     often = np.zeros(COUNTERS, np.int64)
     often[counts["counter"]] = counts["n"]
     schema = "token long, n long, id long, component long"
-    postings = open_texts.mapInArrow(_prefixes(shingle, percent, spark.sparkContext.broadcast(often)), schema)
-    postings = scratch.store(postings.distinct(), "postings")
-    tokens = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).where("low < high")
-    near = components(postings.join(tokens, "token").select("a", F.col("id").alias("b")), scratch, "groups").withColumnRenamed("component", "group")
-    more = scratch.store(_across(open_texts.join(near, "id"), shingle, percent).distinct(), "more")
+    postings = open_texts.mapInArrow(_prefixes(shingle, percent, rows.sparkSession.sparkContext.broadcast(often)), schema)
+    postings = scratch.store(postings, "postings")
+    tokens = scratch.store(postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).where("low < high").select("token", "a"), "tokens")
+    near = scratch.store(components(postings.join(tokens, "token").select("a", F.col("id").alias("b")), scratch, "groups").withColumnRenamed("component", "group"), "near")
+    sized = postings.select("id", "n").distinct()
+    more = scratch.store(_across(open_texts.join(near, "id").join(sized, "id"), shingle, percent, scratch).distinct(), "more")
     scratch.drop("postings", "open", "texts", "members", "pairs")
-    found = components(links.unionByName(more), scratch, "last")
+    found = scratch.store(components(links.unionByName(more), scratch, "last"), "ends").withColumnRenamed("id", "node")
+    ends = known.join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    return scratch.store(signed.select("id", "n").join(ends, "id", "left"), "grouped")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
 
-    ends = known.select("id", "node").join(found.withColumnRenamed("id", "node"), "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("component"))
-    out = signed.select("id", "n").join(ends, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    Documents are linked if 100 * intersection >= percent * union of their sets of shingle
+    words (lower-cased A-Z). component_id is the smallest id reachable; kept tells whether
+    it is the row's own. A text without words, or null, has an empty set and is alone; so
+    is a row with a null id, whose component is null and which is kept. Rows with one id
+    are one document, with all their texts; each row has its result. Ties can't arise: a
+    component has one smallest id. Very long texts are compared as a whole; an empty table
+    gives an empty one; other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    keyed = scratch.store(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text")), "keyed")
+    sets = scratch.store(groups(keyed.where("own IS NOT NULL").select(F.col("key").alias("id"), "text"), shingle, percent, scratch).join(keyed.where("own IS NOT NULL").select(F.col("key").alias("id"), "own"), "id"), "sets")
+    # Rows with one id bring their components together.
+    several = scratch.store(sets.where("component IS NOT NULL").groupBy("own").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("own", "low"), "several")
+    bridges = sets.where("component IS NOT NULL").join(several, "own").where("component <> low").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
+    top = scratch.store(components(bridges, scratch, "bridges").withColumnRenamed("component", "top").withColumnRenamed("id", "component"), "top")
+    rows = scratch.store(sets.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top"), "rows")
+    least = scratch.store(rows.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("component_id")), "least")
+    # A row without words belongs to the component of its id's other rows, if there are any.
+    empty = rows.where("component IS NULL").select("id", "own", "n")
+    of_id = rows.where("component IS NOT NULL").join(empty.select("own").distinct(), "own", "left_semi").groupBy("own").agg(F.min("component").alias("component"))
+    rows = rows.where("component IS NOT NULL").select("own", "n", "component").unionByName(empty.join(of_id, "own", "left").select("own", "n", "component"))
+    out = rows.join(least, "component", "left").select("own", "n", F.coalesce("component_id", "own").alias("component_id"))
+    nameless = keyed.where("own IS NULL").select(F.col("key").alias("id"), "text").mapInArrow(_signed(shingle), "id long, n long, k1 long, k2 long, halves array<long>")
+    out = out.unionByName(nameless.select(F.lit(None).cast("long").alias("own"), "n", F.lit(None).cast("long").alias("component_id")))
+    return out.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("own") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Lets a query's shuffle files go when it ends; what is stored is read again instead.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Sets an option of the session for the time being."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to be read several times.
 
@@ -63,21 +78,10 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        self.release(1)
+        with setting(self.spark, CLEANUP, "true"):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self, rounds: int = 2) -> None:
-        """Lets shuffle files go: they do when the plan that made them is garbage.
-
-        Right after a write the scheduler may still hold it, so that it takes two rounds
-        to be sure.
-        """
-        for k in range(rounds):
-            time.sleep(0.5 * (k > 0))
-            gc.collect()
-            self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

@@ -259,9 +259,10 @@ def test_substring_dedup(spark, docs, texts, empty):
     for i, (w, gone) in enumerate(brute_substrings(list(enumerate(texts)))):
         rest = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[i] = (len(w), len(gone), hashlib.sha256(rest.encode()).hexdigest())
-    done = substring_dedup.dedup(docs)
+    done = substring_dedup.dedup(docs, whole=True)
+    assert done.texts().columns == docs.columns
     assert by_id(done.verdicts(), "n_words", "n_removed", "kept_sha256") == want
-    cut = {r["doc_id"]: r["text"] for r in done.texts(docs).collect()}
+    cut = {r["doc_id"]: r["text"] for r in done.texts().collect()}
     for i, (n, removed, digest) in want.items():
         if removed and removed == n:
             assert i not in cut
@@ -435,6 +436,39 @@ def test_nearest(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in nearest.nearest(two, two).collect()) == [(0, 1), (1, 0)]
 
 
+@pytest.mark.parametrize("factor", [1.0, 1e-200, 1e200])
+def test_nearest_of_extreme_vectors(spark, factor):
+    """Tiny and huge components neither vanish nor overflow."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    table = spark.createDataFrame([(i, (v * (factor if i % 2 else 1.0)).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for r in nearest.nearest(table, table.where("vec_id < 4")).collect():
+        order = [v for v in np.argsort(-(u @ u[r["query_id"]]), kind="stable") if v != r["query_id"]]
+        assert (r["vec_id"], r["score"]) == (order[r["rank"] - 1], pytest.approx(u[r["query_id"]] @ u[r["vec_id"]], abs=1e-12))
+
+
+def test_nearest_of_many_lists(spark):
+    """An inverted file with many lists, in several blocks, merged in several rounds."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 16))).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    settings = nearest.Settings(per_list=150, block=64, fan=8, keep=60)
+    model = nearest.train(x[:4000].astype(float), 6000, 5, settings)
+    assert len(model.centroids) == 40 and 1 <= model.probes < 30 and model.keep >= 60
+    got = {}
+    for r in nearest.nearest(table, table.where("vec_id % 50 = 0"), settings=settings).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = u @ u[q]
+        score[q] = -9
+        hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 120
+
+
 def test_quality_classifier_held_out(spark):
     """Half of the labels are fitted on; the other half is told apart."""
     rng = random.Random(4)

@@ -24,24 +24,42 @@ from plumbline.llm.common import Scratch
 @dataclass(frozen=True)
 class Settings:
     """sample: training rows at most. per_list: about the vectors of a list, as long as the
-    sample has per_centroid rows a list. coverage: the share of near neighbours within the
-    sample that must lie in the lists that a query looks into; it sets the number of these.
-    parts: sub-vectors of a code, of 256 codewords each. keep: codes that are ranked
-    exactly, per query. block: vectors of a list that one task holds at once.
+    sample has per_centroid rows a list; beyond that lists grow. coverage: the share of near
+    neighbours within the sample that must lie in the lists that a query looks into, and
+    among the codes that are ranked exactly; it sets the numbers of both. parts: sub-vectors
+    of a code, of 256 codewords each. keep: codes that are ranked exactly, per query, at
+    least. block: vectors of a list that one task holds at once. fan: results merged at once.
     """
 
-    sample: int = 20_000
-    per_list: int = 1024
+    sample: int = 1 << 16
+    per_list: int = 512
     per_centroid: int = 32
     coverage: float = 0.98
     parts: int = 32
     keep: int = 300
     block: int = 4096
     rounds: int = 12
+    fan: int = 64
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish.
+
+    That is exact but for components too small to count beside the largest.
+    """
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0))
+    return np.ldexp(vectors, -exponent)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x = scaled(vectors)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two matrices."""
+    a, b = scaled(a), scaled(b)
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -58,11 +76,13 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Centroids of the lists, and codebooks[part] of the residuals' sub-vectors."""
+    """Centroids of the lists, codebooks[part] of the residuals' sub-vectors, the lists that a
+    query looks into, and the codes that are ranked exactly for it."""
 
     centroids: np.ndarray
     codebooks: list[np.ndarray]
     probes: int
+    keep: int
 
     @property
     def cuts(self) -> list[slice]:
@@ -103,8 +123,20 @@ def train(sample: np.ndarray, rows: int, k: int, s: Settings) -> Quantiser:
     true = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((0, 1), int)
     rank = np.argsort(np.argsort(-score[asked], axis=1), axis=1)
     places = np.sort(np.take_along_axis(rank, own[true], 1).ravel()) if k else np.zeros(1, int)
-    probes = int(places[min(len(places) - 1, math.ceil(s.coverage * len(places)))]) + 1
-    return Quantiser(centroids, books, probes)
+    at = min(len(places) - 1, math.ceil(s.coverage * len(places)))
+    probes = int(places[at]) + 1
+    made = Quantiser(centroids, books, probes, s.keep)
+    # Where these stand among the sample's codes; the whole table has so many times more.
+    approximate = near.copy() if k else near
+    codes = made.encode(residuals) if k else None
+    for number in range(len(centroids) if k else 0):
+        members = np.flatnonzero(own == number)
+        approximate[:, members] = made.inner_products(x[asked], number, codes[members])
+    approximate[asked, asked] = -np.inf
+    found = np.take_along_axis(approximate, true, 1)
+    stand = [len(x) - np.searchsorted(o, f, side="right") for o, f in zip(np.sort(approximate, axis=1), found, strict=True)]
+    worst = int(np.sort(np.concatenate(stand))[at]) + 1 if k else 1
+    return Quantiser(centroids, books, probes, max(s.keep, math.ceil(worst * rows / len(x))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,8 +148,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
 
     A query's own id is never its neighbour; ties go to the smaller id. Rows take no part
     whose id or vector is null, or whose vector is zero, holds a null, NaN or infinity, or
-    is of another length than most. Equal rows of one id count once; an empty table
-    gives no rows; other columns are not read.
+    is of another length than most; of very large and very small components the cosine is
+    exact, too. Equal rows of one id count once; an empty table gives no rows; other columns
+    are not read. Very common vectors are one entry; a very long list is searched in blocks,
+    and what they return is merged fan by fan, so that no task holds more than that.
     """
     spark, s = vectors.sparkSession, settings
     scratch = Scratch(spark, "nearest")
@@ -168,8 +202,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
     probes = single.select("query", "v").mapInArrow(probe, "list int, query long, v array<double>").join(blocks, "list")
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
+    most = blocks.agg(F.max("blocks")).first()[0]
+
     def search(codes: pa.Table, wanted: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("entries", pa.list_(pa.int64())), ("nears", pa.list_(pa.float32()))])
+        schema = pa.schema([("query", pa.int64()), ("slot", pa.int64()), ("entries", pa.list_(pa.int64())), ("nears", pa.list_(pa.float32()))])
         if not codes.num_rows or not wanted.num_rows:
             return schema.empty_table()
         q, out = shared.value, []
@@ -177,35 +213,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
         order = np.argsort(entry)
         entry = entry[order]
         code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(entry), -1)[order]
-        number = codes.column("list")[0].as_py()
+        number, block = codes.column("list")[0].as_py(), codes.column("block")[0].as_py()
         for part in wanted.to_batches(max_chunksize=256):
             near = q.inner_products(unit(_matrix(part.column("v"))).astype(np.float32), number, code)
-            best = np.argsort(-near, axis=1, kind="stable")[:, : s.keep]
+            best = np.argsort(-near, axis=1, kind="stable")[:, : q.keep]
             ends = pa.array(np.arange(part.num_rows + 1) * best.shape[1], pa.int32())
             values = pa.array(np.take_along_axis(near, best, 1).ravel(), pa.float32())
-            out.append(pa.table([part.column("query"), pa.ListArray.from_arrays(ends, pa.array(entry[best.ravel()])), pa.ListArray.from_arrays(ends, values)], schema=schema))
+            out.append(pa.table([part.column("query"), pa.array(np.full(part.num_rows, number * most + block)), pa.ListArray.from_arrays(ends, pa.array(entry[best.ravel()])), pa.ListArray.from_arrays(ends, values)], schema=schema))
         return pa.concat_tables(out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = shared.value.keep
         for batch in batches:
-            best = []
+            out: tuple[list, list] = ([], [])
             for row in range(batch.num_rows):
                 entries = batch.column("entries")[row].values.flatten().to_numpy()
                 nears = batch.column("nears")[row].values.flatten().to_numpy()
-                best.append(entries[np.lexsort((entries, -nears))[: s.keep]])
-            yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(best, pa.list_(pa.int64()))], ["query", "best"])
-
-    near = placed.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(search, "query long, entries array<long>, nears array<float>")
-    # A query's lists, and what each returns, are bounded by the settings.
-    gathered = near.groupBy("query").agg(F.collect_list("entries").alias("entries"), F.collect_list("nears").alias("nears"))
-    best = gathered.mapInArrow(merge, "query long, best array<long>").select("query", F.explode("best").alias("entry"))
+                best = np.lexsort((entries, -nears))[:keep]
+                out[0].append(entries[best])
+                out[1].append(nears[best])
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("slot"), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.float32()))], ["query", "slot", "entries", "nears"])
+
+    near = placed.groupBy("list", "block").cogroup(probes.groupBy("list", "block")).applyInArrow(search, "query long, slot long, entries array<long>, nears array<float>")
+    slots = len(model.centroids) * most
+    while True:  # slots: list and block, then groups of them
+        slots = -(-slots // s.fan)
+        gathered = near.groupBy("query", F.expr(f"slot div {s.fan}").alias("slot")).agg(F.collect_list("entries").alias("entries"), F.collect_list("nears").alias("nears"))
+        near = gathered.mapInArrow(merge, "query long, slot long, entries array<long>, nears array<float>")
+        if slots == 1:
+            break
+    best = near.select("query", F.explode("entries").alias("entry"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = _matrix(batch.column("qv")), _matrix(batch.column("v"))
-                cosine = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("ids"), pa.array(cosine)], ["query", "ids", "score"])
+                found = cosine(_matrix(batch.column("qv")), _matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("ids"), pa.array(found)], ["query", "ids", "score"])
 
     vectors_of = single.select("query", F.col("v").alias("qv"))
     pairs = best.join(entries, "entry").join(vectors_of, "query").select("query", "qv", "v", "ids")

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, unit_hash
 
-#: Blocks of a source at most, so that one task can order them; larger sources have larger blocks.
-MOST_BLOCKS = 1 << 16
-#: Bisection steps; they narrow alpha to less than the spacing of doubles below 1.
-STEPS = 52
+#: Blocks that one task orders; a source with more has its permutation ordered in parts.
+PART_BLOCKS = 1 << 12
+#: Points of an interval that one pass over the sources looks at, and passes: together they
+#: narrow alpha as far as 54 halvings, less than the spacing of doubles below 1.
+POINTS, PASSES = 64, 9
 
 
 @dataclass(frozen=True)
@@ -49,37 +50,42 @@ def source_tokens(docs: DataFrame, source_col: str, tokens: Column) -> DataFrame
 
 
 def temperature(sources: DataFrame, mix: Mix) -> float:
-    """alpha for a table of sources; only sums over it reach the driver."""
+    """alpha for a table of sources.
+
+    Entropy falls and the least share's repeats fall as alpha grows, so both borders are
+    bisected; a pass over the sources halves both intervals as often as POINTS allow. Only
+    sums for each point reach the driver.
+    """
     total, n = sources.agg(F.sum("tokens"), F.count("*")).first()
     if not n or n == 1:
         return 1.0
     logs = sources.select(F.log(F.col("tokens") / F.lit(float(total))).alias("l"))
-
-    def sums(alpha: float) -> tuple[float, float, float]:
-        power = F.exp(alpha * F.col("l"))
-        return logs.agg(F.sum(power), F.sum(power * F.col("l")), F.max((alpha - 1.0) * F.col("l"))).first()
-
-    def entropy(alpha: float) -> float:
-        z, weighted, _ = sums(alpha)
-        return math.log(z) - alpha * weighted / z
-
-    def repeats(alpha: float) -> float:
-        z, _, most = sums(alpha)
-        return math.exp(most) / z * (mix.budget or total) / total
-
-    def bisect(good) -> float:
-        """The border of a property that holds at low (from True to False)."""
-        low, high = 0.0, 1.0
-        for _ in range(STEPS):
-            middle = (low + high) / 2
-            low, high = (middle, high) if good(middle) else (low, middle)
-        return low
-
-    target = mix.entropy * math.log(n)
-    by_entropy = 1.0 if entropy(1.0) >= target else bisect(lambda a: entropy(a) >= target)
-    if repeats(by_entropy) <= mix.repeats:
-        return by_entropy
-    return 1.0 if repeats(1.0) > mix.repeats else bisect(lambda a: repeats(a) > mix.repeats or a <= by_entropy)
+    target, budget = mix.entropy * math.log(n), (mix.budget or total) / total
+
+    def looked_at(alphas: list[float]) -> dict[float, tuple[bool, bool]]:
+        """Whether the entropy is reached, and whether a source is repeated too often."""
+        at = logs.withColumn("a", F.explode(F.array(*(F.lit(a) for a in alphas))))
+        power = F.exp(F.col("a") * F.col("l"))
+        sums = at.groupBy("a").agg(F.sum(power), F.sum(power * F.col("l")), F.max((F.col("a") - 1.0) * F.col("l"))).collect()
+        return {a: (math.log(z) - a * weighted / z >= target, math.exp(most) / z * budget > mix.repeats) for a, z, weighted, most in sums}
+
+    ends = looked_at([0.0, 1.0])
+    borders = [[1.0, 1.0] if ends[1.0][k] else [0.0, 1.0] for k in (0, 1)]
+    if not ends[0.0][1]:
+        borders[1] = [0.0, 0.0]
+    for _ in range(PASSES):
+        points = [[low + (high - low) * i / POINTS for i in range(1, POINTS)] if low < high else [] for low, high in borders]
+        seen = looked_at(sorted({a for p in points for a in p})) if any(points) else {}
+        for k, (low, high) in enumerate(borders):
+            for a in points[k]:  # the property holds up to the border
+                if seen[a][k]:
+                    low = a
+                else:
+                    high = a
+                    break
+            borders[k] = [low, high]
+    # The largest alpha that reaches the entropy, or the smallest without too many repeats.
+    return max(borders[0][0], borders[1][1])
 
 
 def budgets(sources: DataFrame, alpha: float, mix: Mix) -> DataFrame:
@@ -109,7 +115,7 @@ def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     plan = budgets(sources, temperature(sources, mix), mix)
     plan = plan.select(
         "source", "tokens", "budget",
-        F.least(F.ceil(F.col("tokens") / mix.block_tokens), F.lit(MOST_BLOCKS)).cast("long").alias("blocks"),
+        F.ceil(F.col("tokens") / mix.block_tokens).cast("long").alias("blocks"),
         F.expr("budget div tokens").alias("epochs"),
         F.expr("budget % tokens").alias("rest"),
     )
@@ -118,11 +124,18 @@ def draw(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     by_source = plan.select(F.col("source").alias("own"), "blocks", "budget", F.col("tokens").alias("all"), "epochs", "rest")
     placed = rows.join(by_source, F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("block", unit_hash(key, F.lit("block"), F.lit(str(mix.seed))) % F.col("blocks"))
     # Per block and epoch: what comes before it in the epoch's permutation of blocks.
-    sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("all").alias("all"))
+    sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("blocks").alias("blocks"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("all").alias("all"))
     runs = sizes.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).where("epoch < epochs OR rest > 0")
     turn = unit_hash(F.coalesce("source", F.lit("null")), F.col("block").cast("string"), F.col("epoch").cast("string"), F.lit(str(mix.seed)))
-    order = Window.partitionBy("source", "epoch").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1)
+    # The order of turns is cut into parts; each part's sum, then the sums within one.
+    parts = F.ceil(F.col("blocks") / PART_BLOCKS)
+    runs = runs.withColumn("turn", turn).withColumn("part", F.floor(F.col("turn") / F.lit(2.0**60) * parts)).drop("blocks")
+    sums = runs.groupBy("source", "epoch", "part").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("part").alias("p"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("earlier"))
+    order = Window.partitionBy("source", "epoch", "part").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    runs = runs.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("part") == F.col("p"))).withColumn("before", F.col("before") + F.col("earlier"))
     runs = runs.where("epoch < epochs OR before < rest")
     runs = runs.select(F.col("source").alias("own"), F.col("block").alias("at"), "epoch", "before", F.expr("epoch * all").alias("done"), F.expr("CASE WHEN epoch < epochs THEN all ELSE rest END").alias("limit"))
     drawn = placed.select("doc_id", "source", "tokens", "block", *(["row"] if whole else [])).join(runs, F.col("source").eqNullSafe(F.col("own")) & (F.col("block") == F.col("at")))

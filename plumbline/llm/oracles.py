@@ -29,9 +29,9 @@ over AS MATERIALIZED (SELECT a0, (SELECT exp(max((a0 - 1.0) * l)) / sum(exp(a0 *
 by_repeats AS (SELECT 0 AS step, cast(0 AS double) AS low, cast(1 AS double) AS high UNION ALL
     SELECT step + 1, CASE WHEN good THEN m ELSE low END, CASE WHEN good THEN high ELSE m END FROM (SELECT step, low, high, m,
         ((SELECT exp(max((m - 1.0) * l)) / sum(exp(m * l)) FROM logs) > {repeats} OR m <= (SELECT a0 FROM over)) AS good FROM (SELECT *, (low + high) / 2 AS m FROM by_repeats WHERE step < 52))),
-alpha AS MATERIALIZED (SELECT CASE WHEN r0 <= {repeats} THEN a0 WHEN r1 > {repeats} THEN cast(1 AS double) ELSE (SELECT low FROM by_repeats WHERE step = 52) END AS a FROM over),
+alpha AS MATERIALIZED (SELECT CASE WHEN r0 <= {repeats} THEN a0 WHEN r1 > {repeats} THEN cast(1 AS double) ELSE (SELECT high FROM by_repeats WHERE step = 52) END AS a FROM over),
 powers AS MATERIALIZED (SELECT source, tokens, total, exp(a * ln(tokens / cast(total AS double))) AS p FROM sources, total, alpha),
-plan AS MATERIALIZED (SELECT source, tokens AS own, budget, least(cast(ceil(tokens / {block}.0) AS bigint), 65536) AS blocks, budget // tokens AS epochs, budget % tokens AS rest
+plan AS MATERIALIZED (SELECT source, tokens AS own, budget, cast(ceil(tokens / {block}.0) AS bigint) AS blocks, budget // tokens AS epochs, budget % tokens AS rest
     FROM (SELECT *, cast(floor(p / (SELECT sum(p) FROM powers) * total) AS bigint) AS budget FROM powers)),
 placed AS MATERIALIZED (SELECT s.*, own, epochs, rest, {unit(key, "'block'", "'0'")} % blocks AS block FROM sized s JOIN plan p ON p.source IS NOT DISTINCT FROM s.source),
 runs AS MATERIALIZED (SELECT source, block, epochs, rest, own, unnest(range(0, epochs + 1)) AS epoch, size FROM (SELECT source, block, any_value(epochs) AS epochs, any_value(rest) AS rest, any_value(own) AS own, sum(tokens) AS size FROM placed GROUP BY source, block)),
@@ -70,7 +70,7 @@ def sharding(shards: int = 40, parts: int = 256) -> str:
     step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
     return f"""WITH keyed AS MATERIALIZED (SELECT doc_id, cast(doc_id AS varchar) AS key FROM documents),
 sized AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: cast(concat('0x', h) AS bigint))), lambda c, b: {step}), 4294967295) AS text_crc32 FROM documents),
-placed AS MATERIALIZED (SELECT z.*, a.shard, g.shard AS grown_shard, {unit('k.key', "'part'")} % {parts} AS part FROM sized z JOIN keyed k ON k.doc_id = z.doc_id JOIN ({_descend(tree(shards))}) a ON a.doc_id = z.doc_id JOIN ({_descend(tree(shards + 1))}) g ON g.doc_id = z.doc_id)
+placed AS MATERIALIZED (SELECT z.*, a.shard, g.shard AS grown_shard, {unit('k.key', 'cast(z.size AS varchar)', 'cast(z.text_crc32 AS varchar)')} % {parts} AS part FROM sized z JOIN keyed k ON k.doc_id = z.doc_id JOIN ({_descend(tree(shards))}) a ON a.doc_id = z.doc_id JOIN ({_descend(tree(shards + 1))}) g ON g.doc_id = z.doc_id)
 SELECT doc_id, cast(size AS bigint) AS size, cast(text_crc32 AS bigint) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM placed"""
 
 
@@ -115,9 +115,9 @@ twice AS (SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY
 repeated AS (SELECT doc_id, sum(least(gap, {w}))::bigint AS n FROM twice GROUP BY doc_id),
 measured AS MATERIALIZED (SELECT s.*, len(ws)::bigint AS n_words, length(regexp_replace(t, {SEPARATORS}, '', 'g'))::bigint AS word_chars, ({size('[#*$%&|<>]')})::bigint AS n_symbols, coalesce(r.n, 0) AS n_repeat_words,
     list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, {WORDS})) AS lines, [{', '.join(size(c) for c in classes)}] AS classes, {commons} AS commons FROM split s LEFT JOIN repeated r ON r.doc_id = s.doc_id),
-refs AS MATERIALIZED (SELECT lang, {sums('classes', k[0])} AS rc, {sums('commons', k[1])} AS rw FROM measured GROUP BY lang),
+refs AS MATERIALIZED (SELECT lang, {sums('classes', k[0])} AS rc, {sums('commons', k[1])} AS rw FROM measured WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0) GROUP BY lang),
 judged AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN word_chars >= {limits.min_chars} THEN {distance('classes', 'rc')} END AS dc, CASE WHEN n_words >= {limits.min_words} THEN {distance('commons', 'rw')} END AS dw
-    FROM measured m JOIN refs r ON r.lang IS NOT DISTINCT FROM m.lang)
+    FROM measured m LEFT JOIN refs r ON r.lang IS NOT DISTINCT FROM m.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(dc, 0) > {limits.classes} OR coalesce(dw, 0) > {limits.words}) AS kept FROM judged"""
 
 

@@ -50,7 +50,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(read_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_rules.judge(docs, labels).drop("class_distance", "word_distance")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,12 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import unit_hash
+from plumbline.llm.common import Scratch, unit_hash
 
 #: A shard's slots are numbered in so many parts, each by a task of its own.
 PARTS = 256
+#: Equal rows that are made from one row at a time.
+COPIES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -78,9 +80,10 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 
     The law is `key`: id and number of shards decide. grown_shard is the shard among one
     more. size is the text's UTF-8 bytes plus 16. A shard's slots run from 0 without a gap,
-    by parts of the shard and by id, size and checksum in each. Null text counts as empty;
-    null ids are one key; rows with one id share a shard and have a slot each; an empty
-    table gives no rows; other columns are not read.
+    by parts of the shard and by id, size and checksum in each. Null text counts as empty, a
+    very long one as any; null ids are one key; rows with one id share a shard and have a slot
+    each; rows that are equal in all of these are counted before they meet; an empty table
+    gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -88,17 +91,21 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = descend(rows, tree(shards), key, "shard")
-    rows = rows.withColumn("part", (unit_hash(key, F.lit("part")) % parts).cast("int"))
-    sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    rows = descend(descend(rows, tree(shards), key, "shard"), tree(shards + 1), key, "grown_shard")
+    rows = rows.withColumn("part", (unit_hash(key, F.col("size").cast("string"), F.col("text_crc32").cast("string")) % parts).cast("int"))
+    # Read twice: for the parts' sizes, and for the slots.
+    rows = Scratch(docs.sparkSession, "shards").store(rows, "placed")
+    sizes = rows.groupBy("shard", "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards * parts rows, whatever the input: small enough to broadcast.
     first = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rows = descend(rows, tree(shards + 1), key, "grown_shard")
-    own = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    rows = rows.withColumn("at", F.row_number().over(own)).join(F.broadcast(first), ["shard", "part"])
+    own = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(own), F.lit(0))).join(F.broadcast(first), ["shard", "part"])
+    rows = rows.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")))
+    rows = rows.withColumn("copy", F.explode(F.expr(f"sequence(from, least(n, from + {COPIES}L) - 1)")))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("first") + F.col("at") - 1).cast("long").alias("slot"), "grown_shard",
+        (F.col("first") + F.col("at") + F.col("copy")).cast("long").alias("slot"), "grown_shard",
     )

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -286,6 +287,17 @@ def test_sharding(spark, docs, texts, empty):
     assert len({r["slot"] for r in sharding.assign(nameless(spark, "a")).where("doc_id = 7").collect()}) == 2
 
 
+def test_sharding_counts_equal_rows(spark, monkeypatch):
+    """Many equal rows, and many of one id, have a slot each."""
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    docs = spark.createDataFrame([(None if i % 2 else 5, "t" * (i % 3)) for i in range(1000)] + [(i, "u") for i in range(50)], "doc_id long, text string")
+    rows = sharding.assign(docs, shards=3).collect()
+    assert len(rows) == 1050
+    for shard in range(3):
+        own = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
 def test_sharding_weights_confine_movement(spark):
     rows = spark.range(20_000).withColumn("k", F.col("id").cast("string"))
     old = sharding.tree(40)
@@ -300,7 +312,9 @@ def test_sharding_weights_confine_movement(spark):
 
 def test_quality_rules(spark, docs, texts, empty):
     limits = quality_rules.Limits(classes=0.12, words=0.3, min_chars=50, min_words=20)
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs, limits).collect()}
+    known = {i: (int(i % 4 != 1), int(i % 10 == 0)) for i in range(0, len(texts), 2)}
+    labels = spark.createDataFrame([(i, *k) for i, k in known.items()] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, labels, limits).collect()}
     langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
     tests = [lambda c: "a" <= c <= "z", lambda c: ord(c) > 127, lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in " \t\n\x0b\x0c\r"]
     held = {}
@@ -313,12 +327,13 @@ def test_quality_rules(spark, docs, texts, empty):
         held[i] = (w, counts, named and [*named, len(w) - sum(named)])
     total = {}
     for i, (_, c, n) in held.items():
-        a, b = total.setdefault(langs[i], (np.zeros(6), np.zeros(13)))
-        a += c
-        b += n or 0
+        if known.get(i) == (1, 0):
+            a, b = total.setdefault(langs[i], (np.zeros(6), np.zeros(41)))
+            a += c
+            b += n or 0
 
     def distance(p, q):
-        p, q = np.array(p, float), np.array(q, float)
+        p, q = np.array(p, float), np.array([0.0] if q is None else q, float)
         if not p.sum() or not q.sum():
             return None
         p, q = p / p.sum(), q / q.sum()
@@ -334,12 +349,72 @@ def test_quality_rules(spark, docs, texts, empty):
         repeats = {p for s in spots.values() if len(s) > 1 for k in s for p in range(k, k + 8)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(w) < 20 or 100 * len(repeats) > 30 * len(w)
-        dc = distance(counts, total[langs[i]][0]) if len("".join(w)) >= 50 else None
-        dw = distance(named, total[langs[i]][1]) if named and len(w) >= 20 else None
+        classes, commons = total.get(langs[i], (None, None))
+        dc = distance(counts, classes) if len("".join(w)) >= 50 else None
+        dw = distance(named, commons) if named and len(w) >= 20 else None
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == (len(w), len("".join(w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeats), failed)
         assert (r["class_distance"], r["word_distance"]) == (pytest.approx(dc) if dc is not None else None, pytest.approx(dw) if dw is not None else None)
         assert r["kept"] == (not failed and (dc or 0) <= 0.12 and (dw or 0) <= 0.3)
-    assert quality_rules.judge(empty).count() == 0 and quality_rules.judge(nameless(spark, "a b")).count() == 4
+    assert total and quality_rules.judge(empty, labels).count() == 0 and quality_rules.judge(nameless(spark, "a b"), labels).count() == 4
+    # What isn't trusted moves no verdict.
+    junk = docs.withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("text", F.lit("### $$$ " * 400))
+    more = by_id(quality_rules.judge(docs.unionByName(junk), labels, limits), "kept", "class_distance", "word_distance")
+    assert {i: more[i][0] for i in got} == {i: r["kept"] for i, r in got.items()}
+
+
+def test_quality_rules_know_languages(spark):
+    """Prose of common words is kept, and the same words in another language's place aren't."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        lang, other = ("en", "de") if i % 2 else ("de", "en")
+        common = quality_rules.COMMON_WORDS[other if i >= 100 else lang]
+        rows.append((i, " ".join(rng.choice(common) if rng.random() < 0.4 else f"{prose(rng, 1)}" for _ in range(200)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(quality_rules.judge(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")), "kept")
+    assert all(got[i][0] for i in range(100)) and not any(got[i][0] for i in range(100, 120))
+
+
+def bisected(own, entropy, repeats):
+    """The exponent by plain bisection."""
+    total = sum(own.values())
+
+    def weights(a):
+        power = {s: (n / total) ** a for s, n in own.items()}
+        return {s: p / sum(power.values()) for s, p in power.items()}
+
+    def flat(a):
+        return -sum(w * math.log(w) for w in weights(a).values()) >= entropy * math.log(len(own))
+
+    def often(a):
+        return max(w * total / own[s] for s, w in weights(a).items()) > repeats
+
+    out = []
+    for holds in (flat, often):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if holds(middle) else (low, middle)
+        out.append(1.0 if holds(1.0) else 0.0 if not holds(0.0) else (low if holds is flat else high))
+    return max(out)
+
+
+@pytest.mark.parametrize(("entropy", "repeats"), [(0.5, 100.0), (0.99, 100.0), (0.5, 1.3), (1.0, 4.0), (0.9, 1.0)])
+def test_mixing_temperature(spark, entropy, repeats):
+    own = {f"s{i}": 3 ** i for i in range(9)}
+    sources = spark.createDataFrame(list(own.items()), "source string, tokens long")
+    got = mixing.temperature(sources, mixing.Mix(entropy=entropy, repeats=repeats))
+    assert got == pytest.approx(bisected(own, entropy, repeats), abs=1e-9)
+
+
+def test_mixing_orders_many_blocks_in_parts(spark, monkeypatch):
+    """A permutation that is cut into parts is the same permutation."""
+    docs = spark.createDataFrame([(i, "x" * 37, "a" if i % 5 else "b") for i in range(900)], "doc_id long, text string, source string")
+    mix = mixing.Mix(entropy=0.9, block_tokens=20)
+    rows = lambda: sorted(map(tuple, mixing.draw(docs, mix).collect()))
+    whole = rows()
+    monkeypatch.setattr(mixing, "PART_BLOCKS", 16)
+    assert rows() == whole
 
 
 def test_mixing(spark, empty):
@@ -370,6 +445,10 @@ def test_mixing(spark, empty):
             assert sum(tokens[r["doc_id"]] for r in rows_of if r["epoch"] == e) == n
     whole = mixing.draw(docs, mix, whole=True).select("row.*")
     assert whole.columns == docs.columns and whole.count() == len(drawn)
+    assert alpha == pytest.approx(bisected(own, 0.97, 2.0), abs=1e-12)
+    odd = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x" * 200_000, None), (4, "y" * 40, "b"), (None, "z" * 40, "b")], "doc_id long, text string, source string")
+    got = mixing.draw(odd, mixing.Mix(block_tokens=16)).collect()
+    assert {r["doc_id"] for r in got} == {3, 4, None} and {r["tokens"] for r in got if r["doc_id"] == 3} == {50_000}
     assert mixing.draw(empty).count() == 0 and mixing.draw(nameless(spark, "abcd")).where("doc_id = 7").count() >= 2
 
 
@@ -502,6 +581,67 @@ def test_quality_classifier_rejects_toxic(spark):
     assert not any(got[i][0] for i in range(0, 600, 6)) and sum(k for k, in got.values()) >= 495
 
 
+def test_quality_classifier_against_brute_force(spark, docs, texts):
+    """Counts, ratios, toxic evidence, scores, keys and the kept rows by dictionaries."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, f"{prose(rng, 40, 90)} {'vile' if i % 3 == 0 else 'mild'}! {prose(rng, 20, 90)}") for i in range(200, 500)]
+    rows += [(499, rows[-1][1])] * 3
+    known = {i: (int(i % 5 != 1), int(i >= 200 and i % 3 == 0)) for i, _ in rows if i % 4 != 2}
+    own = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, *k) for i, k in known.items()], "doc_id long, quality int, toxic int")
+    token = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^A-Za-z0-9\u0080-\U0010ffff\x20\x09-\x0D]+")
+    hashes = {}
+
+    def grams(text):
+        """The hash of each word and pair; that of a word alone is a whole text's first."""
+        w = [x.lower() if x.isascii() else x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in token.findall(text or "")]
+        return [(x,) for x in w] + list(itertools.pairwise(w))
+
+    def hash_of(gram):
+        if gram not in hashes:
+            found, _ = quality_classifier.features(pa.array([" ".join(gram)]))
+            hashes[gram] = int(found[-1])
+        return hashes[gram]
+
+    n, held = quality_classifier.BUCKETS, [(i, [hash_of(g) for g in grams(t)]) for i, t in rows]
+    good = {i for i, (q, x) in known.items() if q and not x}
+    raw, target, with_gram, toxic_gram = ({} for _ in range(4))
+    for i, h in held:
+        for x in h:
+            raw[x % n] = raw.get(x % n, 0) + 1
+            target[x % n] = target.get(x % n, 0) + (i in good)
+        if i in known:
+            for x in {x % quality_classifier.EVIDENCE for x in h}:
+                with_gram[x] = with_gram.get(x, 0) + 1
+                toxic_gram[x] = toxic_gram.get(x, 0) + known[i][1]
+    usual = sum(known[i][1] for i, _ in held if i in known) / sum(i in known for i, _ in held)
+    bad = set()
+    for x, c in with_gram.items():
+        share = toxic_gram[x] / c
+        apart = c * (share * math.log(share / usual) + ((1 - share) * math.log((1 - share) / (1 - usual)) if share < 1 else 0)) if share else 0
+        if share >= max(quality_classifier.TOXIC_SHARE, usual) and apart >= math.log(len(with_gram) / quality_classifier.CHANCE):
+            bad.add(x)
+    tn, rn = sum(target.values()), sum(raw.values())
+    ratio = {b: math.log((target[b] + 1) / (tn + n)) - math.log((c + 1) / (rn + n)) for b, c in raw.items()}
+    want = []
+    for i, h in held:
+        noise = quality_classifier.gumbel(pa.array([i], pa.int64()), 0)[0]
+        score = sum(ratio[x % n] for x in h)
+        toxic = any(x % quality_classifier.EVIDENCE in bad for x in h)
+        want.append((i, score, score + noise - (quality_classifier.PENALTY if toxic else 0)))
+    assert bad and any(k < -1e8 for _, _, k in want)
+    fitted = quality_classifier.resample(own, labels)
+    got = sorted((r["doc_id"], r["score"], r["key"]) for r in fitted.keys.collect())
+    assert len(got) == len(want) and all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-6) for a, b in zip(got, sorted(want), strict=True))
+    k = round(sum(i in good for i in known) / len(known) * len(rows))
+    least = sorted((x for _, _, x in want), reverse=True)[k - 1]
+    kept = sorted(i for i, _, x in want if x >= least - 1e-6)
+    assert sorted(r["doc_id"] for r in fitted.verdicts().where("kept").collect()) == kept
+    # Ties at the last key: all of them stay.
+    tied = quality_classifier.resample(own.where("doc_id = 499"), labels, share=0.5)
+    assert [r["kept"] for r in tied.verdicts().collect()] == [True] * 4
+
+
 def test_quality_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in quality_classifier.resample(docs, labels).verdicts().collect())

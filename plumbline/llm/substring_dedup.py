@@ -224,14 +224,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     other = "low <> key OR high <> key"
     index = scratch.store(rows.mapInArrow(_reference_blocks, "block long, key long").groupBy("block").agg(F.min("key").alias("low"), F.max("key").alias("high")), "index")
     probes = rows.mapInArrow(_probes, "block long, key long, place int")
-    hits = probes.join(index, "block").where(other).groupBy("key").agg(F.collect_list("place").alias("hits"))
+    hits = scratch.store(probes.join(index, "block").where(other).groupBy("key").agg(F.collect_list("place").alias("hits")), "hits")
     wanted = described.where(f"key = first_key AND n_words >= {LENGTH}").select("key")
     # Texts are dealt by key alike at every size, and not sorted.
     marked = scratch.store(rows.join(hits.join(wanted, "key").hint("shuffle_hash"), "key"), "marked")
     again = marked.mapInArrow(_neighbours, "block long, key long, place int").join(index, "block").where(other)
-    more = again.groupBy("key").agg(F.collect_list("place").alias("more"))
+    more = scratch.store(again.groupBy("key").agg(F.collect_list("place").alias("more")), "more")
+    scratch.drop("index", "hits")
     runs = scratch.store(marked.join(more.hint("shuffle_hash"), "key"), "runs")
-    scratch.drop("index", "marked")
+    scratch.drop("marked", "more")
     # Hashing them again costs less than keeping them.
     windows = runs.mapInArrow(_windows, "w1 long, w2 long, key long, id long, place int")
     least = scratch.store(windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("w1", "w2", "low"), "least")

@@ -40,6 +40,19 @@ def rounded(x: str, digits: int) -> str:
     return f"(round(({x}) * {scale}) / {scale})"
 
 
+def two_decimals(x: str) -> str:
+    """Text of a column (at least 0) with two decimals, rounded as its binary value is, ties to even.
+
+    200 * x is held exactly, as a rounded product and its error; k is its whole part.
+    """
+    high = f"({x} * 134217729.0e0 - ({x} * 134217729.0e0 - {x}))"
+    error = f"(({high} * 200.0e0 - {x} * 200.0e0) + ({x} - {high}) * 200.0e0)"
+    whole = f"({x} * 200.0e0 = floor({x} * 200.0e0))"
+    k = f"(cast(floor({x} * 200.0e0) AS bigint) - CASE WHEN {whole} AND {error} < 0 THEN 1 ELSE 0 END)"
+    n = f"(CASE WHEN {k} % 2 = 0 THEN {k} DIV 2 WHEN {whole} AND {error} = 0 THEN ({k} + 1) DIV 4 * 2 ELSE ({k} + 1) DIV 2 END)"
+    return f"concat({n} DIV 100, '.', lpad(cast({n} % 100 AS string), 2, '0'))"
+
+
 @dataclass(frozen=True)
 class Dialect:
     """What one engine writes in its own way."""
@@ -200,7 +213,11 @@ def goal_terms(prompt: str, d: Dialect) -> str:
 
 
 def goal_fit(terms: str, text: str, d: Dialect) -> str:
-    n = d.size(d.keep(terms, "t", f"contains({text}, t)"))
+    return goal_fit_of(d.size(d.keep(terms, "t", f"contains({text}, t)")))
+
+
+def goal_fit_of(n: str) -> str:
+    """The fit of a node that holds n of the terms."""
     return f"(CASE WHEN goal_fit > 0 THEN {clamp('goal_fit')} WHEN {n} = 0 THEN 0.1e0 ELSE {clamp(f'0.35e0 + {n} * 0.18e0')} END)"
 
 

@@ -6,6 +6,8 @@ Features use the whole graph: access gates come later and never change them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,10 @@ from plumbline.functions import vocabulary as v
 from plumbline.functions.expressions import SPARK
 
 DUPLICATE_SIMILARITY = 0.88
+#: Links that one task follows.
+TASK_LINKS = 500_000
+#: Terms that a text is looked through for at once.
+TERMS = 256
 RESTART, ITERATIONS, TOLERANCE = 0.15, 100, 1e-8
 
 
@@ -55,8 +61,9 @@ def edge_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = nodes.select("graph_id", "id").join(seen, ["graph_id", "id"], "left")
     flags = ("contradicted", "overview_edge", "duplicate_edge", "prereq_edge", "bridge_edge", "counterpoint_edge", "unknown_edge")
     rows = rows.fillna(0, ["degree", "raw_centrality", "cites_in", "prereq_in"]).fillna(False, list(flags))
-    graph = Window.partitionBy("graph_id")
-    rows = rows.withColumn("top", F.max("raw_centrality").over(graph)).withColumn("top_cites", F.max("cites_in").over(graph))
+    # One row a graph, from partial maxima: no task holds a graph.
+    tops = rows.groupBy("graph_id").agg(F.max("raw_centrality").alias("top"), F.max("cites_in").alias("top_cites"))
+    rows = rows.join(tops, "graph_id")
     return rows.selectExpr(
         "graph_id", "id", "degree", "prereq_in", "cites_in", *flags,
         f"CASE WHEN top = 0 THEN 0.0e0 ELSE round({x.clamp('raw_centrality / top')} * 1000000000000.0e0) / 1000000000000.0e0 END AS centrality",
@@ -64,33 +71,61 @@ def edge_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def similar_titles(nodes: DataFrame, tokens: str, least: float = DUPLICATE_SIMILARITY) -> DataFrame:
-    """Pairs a < b of one graph whose title token sets have the Jaccard similarity.
+def title_sets(nodes: DataFrame, tokens: str) -> DataFrame:
+    """graph_id, id, tokens (distinct, sorted) and rep, the smallest id with the same tokens."""
+    sets = nodes.selectExpr("graph_id", "id", f"array_sort(array_distinct({tokens})) AS tokens").where("size(tokens) > 0")
+    reps = sets.groupBy("graph_id", "tokens").agg(F.min("id").alias("rep"))
+    return sets.join(reps, ["graph_id", "tokens"])
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of representatives whose token sets have the Jaccard similarity.
 
-    tokens: SQL over title. Only rows that share one of the tokens that a similar pair must
-    share meet: of each set, ordered from the rarest, size - ceil(least * size) + 1 tokens.
+    Equal sets are one. Only sets meet that share one of the tokens that a similar pair must
+    share: of each, ordered from the rarest, size - ceil(least * size) + 1 tokens.
     """
-    sets = nodes.selectExpr("graph_id", "id", f"array_distinct({tokens}) AS tokens").where("size(tokens) > 0").withColumn("n", F.size("tokens"))
-    each = sets.select("graph_id", "id", "n", F.explode("tokens").alias("token"))
+    one = sets.where("id = rep").select("graph_id", "id", "tokens", F.size("tokens").alias("n"))
+    each = one.select("graph_id", "id", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("graph_id", "token").agg(F.count("*").alias("often"))
     order = Window.partitionBy("graph_id", "id").orderBy("often", "token")
     prefix = each.join(often, ["graph_id", "token"]).withColumn("place", F.row_number().over(order)).where(f"place <= n - ceil({least} * n) + 1")
     prefix = prefix.select("graph_id", "token", "id", "n")
     other = prefix.select("graph_id", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = prefix.withColumnRenamed("id", "a").join(other, ["graph_id", "token"]).where(f"a < b AND least(n, nb) >= {least} * greatest(n, nb)").select("graph_id", "a", "b").distinct()
-    pairs = pairs.join(sets.selectExpr("graph_id", "id AS a", "tokens AS ta"), ["graph_id", "a"]).join(sets.selectExpr("graph_id", "id AS b", "tokens AS tb"), ["graph_id", "b"])
+    pairs = pairs.join(one.selectExpr("graph_id", "id AS a", "tokens AS ta"), ["graph_id", "a"]).join(one.selectExpr("graph_id", "id AS b", "tokens AS tb"), ["graph_id", "b"])
     pairs = pairs.withColumn("similarity", F.expr("size(array_intersect(ta, tb)) / cast(size(array_union(ta, tb)) AS double)"))
     return pairs.where(f"similarity >= {least}").select("graph_id", "a", "b", "similarity")
 
 
+def similar_titles(nodes: DataFrame, tokens: str, least: float = DUPLICATE_SIMILARITY) -> DataFrame:
+    """Pairs a < b of one graph whose title token sets have the Jaccard similarity.
+
+    tokens: SQL over title. The result lists every pair, so it grows with the square of a
+    group of equal titles; duplicate_clusters() doesn't need it.
+    """
+    sets = title_sets(nodes, tokens)
+    between = similar_sets(sets, least)
+    own = sets.select("graph_id", F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    members = sets.select("graph_id", "rep", "id")
+    pairs = own.unionByName(between).join(members.selectExpr("graph_id", "rep AS a", "id AS x"), ["graph_id", "a"]).join(members.selectExpr("graph_id", "rep AS b", "id AS y"), ["graph_id", "b"])
+    # Each pair of two sets once, and of one set's members in one order.
+    pairs = pairs.where("a <> b OR x < y")
+    return pairs.selectExpr("graph_id", "least(x, y) AS a", "greatest(x, y) AS b", "similarity")
+
+
 def duplicate_clusters(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """graph_id, id and cluster (its smallest id) of every node in a cluster of two or more.
 
-    Links are duplicate edges and similar titles. Labels spread by minima, with a jump to
-    the label's label in each round, until a round changes none.
+    Links are duplicate edges, similar titles, and equal titles with their first. Few of them
+    are followed in one task; more spread labels by minima, with a jump to the label's label
+    in each round, until a round changes none. Both give the same.
     """
     links = edges.where("type = 'duplicate' AND source_id <> target_id").selectExpr("graph_id", "source_id AS a", "target_id AS b")
-    links = links.unionByName(similar_titles(nodes, x.title_words("title", SPARK)).select("graph_id", "a", "b"))
+    sets = cut(title_sets(nodes, x.title_words("title", SPARK)))
+    links = links.unionByName(similar_sets(sets, DUPLICATE_SIMILARITY).select("graph_id", "a", "b")).unionByName(sets.where("id <> rep").selectExpr("graph_id", "rep AS a", "id AS b"))
+    links = cut(links.distinct())
+    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return cut(links.coalesce(1).mapInPandas(_clustered, f"graph_id {links.schema['graph_id'].dataType.simpleString()}, id string, cluster string"))
     both = links.unionByName(links.selectExpr("graph_id", "b AS a", "a AS b")).distinct()
     both = cut(both)
     labels = cut(both.groupBy("graph_id", F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("cluster")))
@@ -105,6 +140,26 @@ def duplicate_clusters(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
+def _clustered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labels of one task's links: the smallest id that each end reaches."""
+    held = [p for p in parts if len(p)]
+    if not held:
+        return
+    links = pd.concat(held, ignore_index=True)
+    ends = pd.concat([links[["graph_id", c]].rename(columns={c: "id"}) for c in ("a", "b")], ignore_index=True)
+    nodes = ends.drop_duplicates().sort_values(["graph_id", "id"], ignore_index=True)
+    place = ends.merge(nodes.reset_index(), on=["graph_id", "id"], how="left")["index"].to_numpy(int)
+    a, b = place[: len(links)], place[len(links) :]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before, low = label.copy(), np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, end, low)
+            np.minimum.at(label, before[end], low)
+        label = label[label]
+    yield nodes.assign(cluster=nodes["id"].to_numpy()[label])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder, so that a loop's plan stays short."""
     spark = df.sparkSession
@@ -126,7 +181,7 @@ def authority(nodes: DataFrame, features: DataFrame) -> DataFrame:
     rows = rows.withColumn("approved", F.expr("CASE WHEN size(approved_by) > 0 THEN 1.0e0 ELSE 0.0e0 END")).withColumn("authority", F.expr(x.authority_parts()))
     rows = rows.withColumn("tokens", F.expr(x.effective_tokens(SPARK)))
     rows = rows.withColumn("raw_density", F.expr("authority / greatest(1.0e0, log2(cast(tokens + 2 AS double)))"))
-    rows = rows.withColumn("top", F.max("raw_density").over(Window.partitionBy("graph_id")))
+    rows = rows.join(rows.groupBy("graph_id").agg(F.max("raw_density").alias("top")), "graph_id")
     return rows.selectExpr("graph_id", "id", "tokens", "authority", "CASE WHEN top = 0 THEN 0.0e0 ELSE raw_density / top END AS token_density")
 
 
@@ -188,6 +243,19 @@ def role() -> str:
         ELSE 'curiosity-leaf' END)"""
 
 
+def term_hits(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """graph_id, id and hits: which of the terms that its graph's queries ask for a node's text holds.
+
+    wanted: graph_id and terms. A text is read once for each TERMS distinct terms, however
+    many queries ask for them, and doesn't leave its row.
+    """
+    terms = wanted.selectExpr("graph_id", "explode(terms) AS term").distinct()
+    sizes = terms.groupBy("graph_id").agg(F.count("*").alias("n"))
+    packs = terms.join(sizes, "graph_id").groupBy("graph_id", F.pmod(F.xxhash64("term"), F.ceil(F.col("n") / TERMS)).alias("pack")).agg(F.collect_list("term").alias("asked"))
+    found = table.select("graph_id", "id", "goal_text").join(packs.drop("pack"), "graph_id").selectExpr("graph_id", "id", "filter(asked, t -> contains(goal_text, t)) AS hits")
+    return found.where("size(hits) > 0").groupBy("graph_id", "id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
 def query_nodes(queries: DataFrame, table: DataFrame) -> DataFrame:
     """Each query with each node of its graph: goal fit, role and the backlog score's parts.
 
@@ -200,7 +268,9 @@ def query_nodes(queries: DataFrame, table: DataFrame) -> DataFrame:
             wanted = wanted.withColumn(name, F.expr(default))
     topics = x.SPARK.keep(x.SPARK.each("goal_topics", "t", x.SPARK.trimmed("lower(t)", " ,.;:!?()[]{}\"'")), "t", "octet_length(t) > 3")
     wanted = wanted.withColumn("terms", F.expr(f"concat({topics}, {x.goal_terms('query', SPARK)})"))
-    rows = wanted.join(table, "graph_id").withColumn("fit", F.expr(x.goal_fit("terms", "goal_text", SPARK))).drop("terms", "goal_text")
+    held = table.drop("goal_text").join(term_hits(wanted, table), ["graph_id", "id"], "left")
+    found = "size(filter(terms, t -> array_contains(coalesce(hits, cast(array() AS array<string>)), t)))"
+    rows = wanted.join(held, "graph_id").withColumn("fit", F.expr(x.goal_fit_of(found))).drop("terms", "hits")
     rows = rows.withColumn("role", F.expr(role()))
     familiarity = "(CASE WHEN familiarity = 0 THEN 3 ELSE familiarity END)"
     return rows.selectExpr(

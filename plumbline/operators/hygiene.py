@@ -90,17 +90,27 @@ def missing_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return supersedes.unionByName(questions).unionByName(duplicates).unionByName(members).unionByName(exceptions)
 
 
-def reports(queries: DataFrame, flag_rows: DataFrame, suggestions: DataFrame, clusters: DataFrame) -> DataFrame:
+def summaries(queries: DataFrame, flag_rows: DataFrame) -> DataFrame:
+    """query_id, score, signal and counts by kind of every query; nothing is gathered in a cell."""
+    kinds = ("orphan", "stale", "missing_bridge", "duplicate", "low_trust", "unapproved")
+    counts = flag_rows.groupBy("query_id").agg(*(F.expr(f"count_if({k})").alias(f"n_{k}") for k in kinds))
+    rows = queries.select("query_id").join(scores(flag_rows).drop("graph_id"), "query_id", "left").join(counts, "query_id", "left")
+    return rows.withColumn("score", F.coalesce("score", F.lit(1.0))).withColumn("signal", F.coalesce("signal", F.lit("green"))).fillna(0, [f"n_{k}" for k in kinds])
+
+
+def reports(queries: DataFrame, flag_rows: DataFrame, suggestions: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a query: clusters, id lists, suggestions, score, signal and retrieval targets.
 
-    Reports aren't access-gated; they name nodes that the caller may not see.
+    Reports aren't access-gated; they name nodes that the caller may not see. A row nests all
+    that there is to say about its graph: for requests that bring their own; for many queries
+    of a large shared graph there are summaries(), flags() and missing_edges().
     """
     ids = lambda c: F.expr(f"array_sort(filter(collect_list(CASE WHEN {c} THEN id END), i -> i IS NOT NULL))")
     lists = flag_rows.groupBy("query_id").agg(ids("orphan").alias("orphan_nodes"), ids("stale").alias("stale_nodes"), ids("missing_bridge").alias("missing_bridges"))
     cluster = clusters.groupBy("graph_id", "cluster").agg(F.array_sort(F.collect_list("id")).alias("ids")).groupBy("graph_id").agg(F.array_sort(F.collect_list("ids")).alias("duplicate_clusters"))
     edge = F.struct("source_id", "target_id", "type", "confidence", "reason")
     found = suggestions.groupBy("graph_id").agg(F.array_sort(F.collect_list(edge)).alias("missing_edges"))
-    rows = queries.select("query_id", "graph_id", "allow_degraded").join(lists, "query_id", "left").join(scores(flag_rows).drop("graph_id"), "query_id", "left")
+    rows = queries.select("query_id", "graph_id", "allow_degraded").join(lists, "query_id", "left").join(scores(flag_rows, threshold).drop("graph_id"), "query_id", "left")
     rows = rows.join(cluster, "graph_id", "left").join(found, "graph_id", "left").withColumn("score", F.coalesce("score", F.lit(1.0))).withColumn("signal", F.coalesce("signal", F.lit("green")))
     ends = "flatten(transform(coalesce(missing_edges, array()), e -> array(e.source_id, e.target_id)))"
     return rows.withColumn("retrieval_targets", F.expr(f"CASE WHEN signal = 'red' AND NOT allow_degraded THEN array_sort(array_distinct(concat(coalesce(missing_bridges, array()), {ends}))) END")).drop("allow_degraded")

@@ -60,7 +60,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def rationale() -> str:
     """The list of reasons of a scored row."""
-    two = lambda label, column: f"format_string('{label} %.2f', {column})"
+    two = lambda label, column: f"concat('{label} ', {x.two_decimals(column)})"
     return f"""filter(array(
         {two('query relevance', 'query_relevance')}, {two('authority', 'authority')}, {two('graph importance', 'graph_importance')}, {two('token budget fit', 'token_fit')},
         CASE WHEN estimated THEN concat('token count estimated as ', tokens) END,

@@ -77,7 +77,8 @@ class Analysis:
 
     @cached_property
     def table(self) -> DataFrame:
-        return graph.graph_table(self.corpus.nodes, self.edges, self.corpus.now_year)
+        """Cut into the checkpoint folder: a row a node, which goal terms and every query read."""
+        return graph.cut(graph.graph_table(self.corpus.nodes, self.edges, self.corpus.now_year))
 
     @cached_property
     def ppr(self) -> DataFrame:
@@ -194,6 +195,10 @@ class Analysis:
         clusters = self.table.where("cluster IS NOT NULL").select("graph_id", "id", "cluster")
         return hygiene.reports(self.corpus.queries, self.hygiene_flags, self.missing_edges, clusters)
 
+    @cached_property
+    def hygiene_summary(self) -> DataFrame:
+        return hygiene.summaries(self.corpus.queries, self.hygiene_flags)
+
     @cached_property
     def responses(self) -> DataFrame:
         """One row a query: recommendation, plan with its final signal, status and error.

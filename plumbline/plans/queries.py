@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import expressions as x
 from plumbline.functions import vocabulary as v
 from plumbline.functions.expressions import OTHER, SPARK
-from plumbline.operators import access, graph, memory, packing, ranking
+from plumbline.operators import access, graph, hygiene, memory, packing, provenance, ranking
 from plumbline.plans import docgraph, oracles
-from plumbline.plans.pipeline import Analysis
+from plumbline.plans.pipeline import Analysis, validation_errors
 from plumbline.sources import graphrag, lightrag
 
 
@@ -31,6 +32,10 @@ def six(column: str, name: str | None = None) -> str:
     return f"{x.rounded(column, 6)} AS {name or column}"
 
 
+#: What a caller sees of a node by clearance and controlling chunks alone, as plans are packed.
+SEEN_BY_CLEARANCE = """n.tenant_id = '' AND list_position(['public', 'internal', 'confidential', 'restricted'], n.sensitivity) <= list_position(['public', 'internal', 'confidential', 'restricted'], q.clearance)
+    AND NOT (n.sensitivity IN ('confidential', 'restricted') AND len(n.approved_by) > 0)"""
+
 Made = tuple[Callable[[Analysis], DataFrame], str, tuple[str, ...]]
 _made: dict[str, Made] = {}
 
@@ -149,7 +154,82 @@ def _(a: Analysis) -> DataFrame:
 
 @query("hygiene_score", f"SELECT query_id, {six('score')}, signal FROM scores", "scores")
 def _(a: Analysis) -> DataFrame:
-    return a.hygiene.selectExpr("query_id", six("score"), "signal")
+    return a.hygiene_summary.selectExpr("query_id", six("score"), "signal")
+
+
+KINDS = ("orphan", "stale", "missing_bridge", "duplicate", "low_trust", "unapproved")
+
+
+@query("hygiene_counts", "SELECT query_id, " + ", ".join(f"count(*) FILTER ({k}) AS n_{k}" for k in KINDS) + " FROM flags GROUP BY query_id", "flags")
+def _(a: Analysis) -> DataFrame:
+    return a.hygiene_summary.select("query_id", *(f"n_{k}" for k in KINDS))
+
+
+@query("retrieval_targets", """SELECT q.query_id, t.id FROM queries q JOIN scores s ON s.query_id = q.query_id JOIN (
+    SELECT query_id, id FROM flags WHERE missing_bridge UNION SELECT q.query_id, m.source_id FROM missing m JOIN queries q ON q.graph_id = m.graph_id UNION SELECT q.query_id, m.target_id FROM missing m JOIN queries q ON q.graph_id = m.graph_id) t ON t.query_id = q.query_id
+    WHERE s.score < 0.9e0""", "queries", "scores", "flags", "missing")
+def _(a: Analysis) -> DataFrame:
+    rows = hygiene.reports(a.corpus.queries.withColumn("allow_degraded", F.lit(False)), a.hygiene_flags, a.missing_edges, a.table.where("cluster IS NOT NULL").select("graph_id", "id", "cluster"), threshold=0.9)
+    return rows.selectExpr("query_id", "explode(retrieval_targets) AS id")
+
+
+@query("suppressed_by_reason", "SELECT query_id, reason, count(*) AS n FROM left_out GROUP BY ALL", "left_out")
+def _(a: Analysis) -> DataFrame:
+    return a.plans.selectExpr("query_id", "explode(suppressed_by_reason) AS (reason, n)")
+
+
+@query("must_cite", "SELECT query_id, id, slot_type <> 'support' AS must_cite FROM slots", "slots")
+def _(a: Analysis) -> DataFrame:
+    return a.plans.selectExpr("query_id", "inline(slots)").select("query_id", F.col("node_id").alias("id"), "must_cite")
+
+
+def _two(label: str, column: str) -> str:
+    return f"printf('{label} %.2f', {column})"
+
+
+@query("rationale", f"""SELECT query_id, id, concat_ws('; ', {_two('query relevance', 'query_relevance')}, {_two('authority', 'authority')}, {_two('graph importance', 'graph_importance')}, {_two('token budget fit', 'token_fit')},
+    CASE WHEN token_count = 0 AND text <> '' THEN concat('token count estimated as ', tokens) END, CASE WHEN unknown_edge THEN 'unknown edge type weighted as related-to' END, CASE WHEN redundancy > 0 THEN {_two('redundancy penalty', 'redundancy')} END,
+    CASE WHEN staleness > 0 THEN {_two('staleness penalty', 'staleness')} END, CASE WHEN low_trust > 0 THEN {_two('low trust penalty', 'low_trust')} END, CASE WHEN query_type <> '' THEN concat('query type ', query_type, ' modifier applied') END) AS why FROM rank_ranked""", "rank_ranked")
+def _(a: Analysis) -> DataFrame:
+    return a.ranked.selectExpr("query_id", "id", f"array_join({ranking.rationale()}, '; ') AS why")
+
+
+@query("explain", """SELECT query_id, id, concat(concat_ws('; ', concat(title, ' is a ', role), CASE WHEN round(fit * 100) / 100 >= 0.7 THEN 'strongly matches the goal' END, CASE WHEN round(centrality * 100) / 100 >= 0.7 THEN 'unlocks several connected items' END,
+    CASE WHEN readiness2 < 0.55 THEN 'may need prerequisites first' END, CASE WHEN round(backlog_redundancy * 100) / 100 >= 0.5 THEN 'looks redundant with another backlog item' END, CASE WHEN round(energy_time_fit * 100) / 100 >= 0.8 THEN 'fits the current time/energy budget' END), '.') AS line FROM legacy""", "legacy")
+def _(a: Analysis) -> DataFrame:
+    return a.rows.selectExpr("query_id", "id", f"{ranking.explanation()} AS line")
+
+
+@query("known_sensitivity", "SELECT graph_id, id, sensitivity IN ('public', 'internal', 'confidential', 'restricted') AS known FROM nodes", "nodes")
+def _(a: Analysis) -> DataFrame:
+    return a.corpus.nodes.selectExpr("graph_id", "id", f"{access.known_sensitivity()} AS known")
+
+
+@query("redacted_trail", f"""SELECT h.query_id, h.idx AS slot, h.node_id, h.edge_type FROM (SELECT *, row_number() OVER (PARTITION BY query_id, idx, node_id, edge_type ORDER BY step, s, t, confidence) AS n FROM hops) h
+    JOIN (SELECT q.query_id, n.id FROM queries q JOIN nodes n ON n.graph_id = q.graph_id WHERE {SEEN_BY_CLEARANCE}) v ON v.query_id = h.query_id AND v.id = h.node_id WHERE h.n = 1""", "hops", "queries", "nodes")
+def _(a: Analysis) -> DataFrame:
+    rows = a.pack_gated.select("query_id", "id", "denial")
+    return access.redacted_trail(a.trails, rows).selectExpr("query_id", "`index` AS slot", "node_id", "edge_type")
+
+
+@query("source_ref", "SELECT graph_id, id, source, version, community_id FROM nodes", "nodes")
+def _(a: Analysis) -> DataFrame:
+    return provenance.source_ref(a.corpus.nodes).selectExpr("graph_id", "ref.node_id AS id", "ref.source AS source", "ref.version AS version", "ref.community_id AS community_id")
+
+
+@query("validation", """SELECT cast(graph_id AS varchar) AS scope, 'edge target_id does not match any node' AS error, concat(target_id, '?') AS id FROM raw_edges WHERE type = 'cites'
+    UNION ALL SELECT cast(query_id AS varchar), 'candidate is missing node_id', '' FROM queries""", "raw_edges", "queries")
+def _(a: Analysis) -> DataFrame:
+    c = a.corpus
+    edges = c.edges.unionByName(c.edges.where("type = 'cites'").withColumn("target_id", F.concat("target_id", F.lit("?"))))
+    blank = c.queries.selectExpr("query_id", "'' AS node_id", "9L AS pos", "0.0e0 AS query_relevance")
+    return validation_errors(replace(c, edges=edges, candidates=c.candidates.unionByName(blank)))
+
+
+@query("status", """SELECT a.query_id, CASE WHEN NOT EXISTS (SELECT 1 FROM rank_ranked r WHERE r.query_id = a.query_id) AND EXISTS (SELECT 1 FROM rank_gated g WHERE g.query_id = a.query_id AND g.denial IS NOT NULL) THEN 'access-denied-only'
+    WHEN (CASE WHEN g.signal = 'green' THEN s.signal ELSE g.signal END) = 'red' AND NOT a.allow_degraded THEN 'red-signal' ELSE 'ok' END AS status FROM asked a JOIN signals g ON g.query_id = a.query_id JOIN scores s ON s.query_id = a.query_id""", "asked", "signals", "scores", "rank_ranked", "rank_gated")
+def _(a: Analysis) -> DataFrame:
+    return a.responses.select("query_id", "status")
 
 
 @query("graph_metadata", """SELECT m.query_id, array_to_string(entity_ids, ',') AS entities, has_permission, has_decision_basis, cast(topic_span AS int) AS topic_span, (SELECT count(*) FROM rows r WHERE r.query_id = m.query_id AND r.role = 'bridge') AS n_bridges,

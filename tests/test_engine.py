@@ -374,6 +374,32 @@ def test_memory_reuse(spark, topics, kind, changes, clearance, reason):
     assert memory.rejections(stored, asked, current(spark, **changes), {"clearance": clearance}).first()["reason"] == reason
 
 
+def test_two_decimals_are_those_of_the_binary_value(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [0.0, 0.125, 0.375, 0.005, 0.015, 0.565, 0.345, 0.675, 1.0, 0.995, 12.5, 99.995, *(rng.randrange(2000) / 1000 for _ in range(500)), *(rng.random() * 3 for _ in range(500))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", f"{x.two_decimals('v')} AS s").collect()
+    assert all(r["s"] == f"{r['v']:.2f}" for r in rows)
+
+
+def test_clusters_in_one_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    nodes = candidates.filled_nodes(spark.createDataFrame([(g, f"n{i}", rng.choice(["", f"one two three four five six seven w{i % 9}", f"alone number {i} {g}"])) for g in ("g", "h") for i in range(60)], "graph_id string, id string, title string"))
+    edges = graph.normalised_edges(spark.createDataFrame([("g", f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", "duplicate", 1.0, "") for _ in range(25)], "graph_id string, source_id string, target_id string, type string, confidence double, note string"))
+    found = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(graph, "TASK_LINKS", most)
+        found.append(sorted(map(tuple, graph.duplicate_clusters(nodes, edges).select("graph_id", "id", "cluster").collect())))
+    assert found[0] == found[1] and len(found[0]) > 40
+    pairs = {(r["graph_id"], r["a"], r["b"]) for r in graph.similar_titles(nodes, x.title_words("title", SPARK)).collect()}
+    sets = {(r["graph_id"], r["id"]): set(r["w"]) for r in nodes.selectExpr("graph_id", "id", f"{x.title_words('title', SPARK)} AS w").collect()}
+    want = {(g, a, b) for (g, a), s in sets.items() for (h, b), t in sets.items() if g == h and a < b and s and t and len(s & t) / len(s | t) >= 0.88}
+    assert pairs == want and want
+
+
 def test_slug_keeps_whole_characters(spark):
     for title, want in (("Überblick über Märkte und Strömungen", "überblick-über-märkte-und-1"), ("Ää" * 20, "ää" * 7 + "-1"), ("日本語の長い長い題名", "日本語の長い長い題-1"), ("!!", "item-1")):
         got = one(spark, backlog.slug(), title=f"'{title}'", place="1")

@@ -35,6 +35,8 @@ M, T = 12, 3
 COUNTERS = 1 << 16
 #: Texts of a block, and shingles that a task compares at once.
 BLOCK, COLUMNS = 128, 2048
+#: Nodes whose table rows one task makes.
+NODES = 1 << 13
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, 2 * M * T, dtype=np.uint32) | np.uint32(1)
@@ -242,7 +244,8 @@ def groups(rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -> Dat
 
     # One row for each node and table.
     tables = F.expr(f"flatten(transform(slice(halves, 1, {M}), x -> transform(slice(halves, {M + 1}, {M}), y -> xxhash64(x, y))))")
-    keys = nodes.select("node", F.explode(tables).alias("key"))
+    spread = nodes.select("node", "halves").repartition(max(1, nodes.count() // NODES))
+    keys = spread.select("node", F.explode(tables).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = scratch.store(keys.join(sizes, "key").select("key", "node", "n"), "shared")
     # The head of a bucket is its node with the most company over all tables: of a text and

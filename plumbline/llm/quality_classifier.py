@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,9 @@ def evidence(rows: DataFrame) -> np.ndarray:
                 hashes, text = features(part.column("text"))
                 pairs = np.unique(text * EVIDENCE + bucketed(hashes, EVIDENCE))
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-                held += np.bincount(pairs % EVIDENCE, minlength=EVIDENCE).astype(np.int32)
-                bad += np.bincount(pairs[toxic[pairs // EVIDENCE]] % EVIDENCE, minlength=EVIDENCE).astype(np.int32)
+                for counts, own in ((held, pairs), (bad, pairs[toxic[pairs // EVIDENCE]])):
+                    bucket, n = np.unique(own % EVIDENCE, return_counts=True)
+                    counts[bucket] += n.astype(np.int32)
         some = np.flatnonzero(held)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].astype(np.int64)), pa.array(bad[some].astype(np.int64))], ["bucket", "held", "bad"])
@@ -94,11 +96,18 @@ class Model:
 
     toxic: np.ndarray
 
+    @cached_property
+    def _tells(self) -> np.ndarray:
+        """Whether each bucket tells toxic text; made where it is used, not sent."""
+        out = np.zeros(EVIDENCE, bool)
+        out[self.toxic] = True
+        return out
+
     def judged(self, texts: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Scores and keys."""
         hashes, text = features(texts)
         score = np.bincount(text, self.ratio[bucketed(hashes)], len(texts)).astype(float)
-        toxic = np.bincount(text[np.isin(bucketed(hashes, EVIDENCE), self.toxic)], minlength=len(texts)) > 0
+        toxic = np.bincount(text[self._tells[bucketed(hashes, EVIDENCE)]], minlength=len(texts)) > 0
         return score, score + gumbel(ids, self.seed) - PENALTY * toxic
 
 

@@ -71,6 +71,7 @@ def evidence(rows: DataFrame) -> np.ndarray:
     if not usual or usual == 1:
         return np.zeros(0, np.int64)
     counts = rows.mapInArrow(count, "bucket long, held long, bad long").groupBy("bucket").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad"))
+    counts = Scratch(rows.sparkSession, "evidence").store(counts, "counts")
     tested = counts.count()
     # Chernoff's bound of the chance that so many of those that hold an n-gram are toxic.
     share = F.col("bad") / F.col("held")

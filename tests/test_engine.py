@@ -464,3 +464,37 @@ def test_stream_of_requests(spark, tmp_path):
     (tmp_path / "in/1.json").write_text(json.dumps(request(allow_degraded_plan=True)) + "\n")
     batches.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 2026).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).first()["status"] == "ok"
+
+
+def scattered(spark, n=60):
+    """Nodes of two graphs, some ids twice, and edges among them of the types that rules look for."""
+    import random
+
+    rng = random.Random(5)
+    names, links = [], []
+    for g in ("g", "h"):
+        for i in range(n):
+            title = rng.choice(["Refund Policy", "Refund Exception", "Policy Exception", "Vendor Access Rules", f"Lone Page {i}"])
+            topics = rng.choice([[], ["refund"], ["Refund ", "policy"], ["policy", "refund", "audit"], [f"own {i}"]])
+            kind = "community-summary" if rng.random() < 0.1 else "section"
+            names.append((g, f"n{i % (n - 4):02}", title, topics, rng.choice(["", "c1", "c2", f"alone {i}"]), kind, rng.choice(["", "", f"n{(i + 1) % n:02}"])))
+        for kind in ("same-question", "duplicate", "community-member-of", "exception-to", "supersedes"):
+            links += [(g, f"n{a:02}", f"n{b:02}", kind, 1.0, "") for a in range(n) for b in range(n) if rng.random() < (0.9 if a % 3 else 0.1)]
+    nodes = candidates.filled_nodes(spark.createDataFrame(names, "graph_id string, id string, title string, topics array<string>, community_id string, chunk_type string, superseded_by string"))
+    edges = spark.createDataFrame(links, "graph_id string, source_id string, target_id string, type string, confidence double, note string")
+    return nodes, graph.cut(graph.normalised_edges(edges))
+
+
+def test_missing_ends_without_pairs(spark):
+    """The ends of all missing edges, though no pair is made of them."""
+    nodes, edges = scattered(spark)
+    pairs = hygiene.missing_edges(nodes, edges).collect()
+    assert len({r["type"] for r in pairs}) == 5
+    got = [tuple(r) for r in hygiene.missing_ends(nodes, edges).select("graph_id", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r["graph_id"], r[e]) for r in pairs for e in ("source_id", "target_id")}
+    assert len(got) < nodes.select("graph_id", "id").distinct().count()
+    queries = spark.createDataFrame([("q", "g", False), ("r", "g", True), ("s", "h", False)], "query_id string, graph_id string, allow_degraded boolean")
+    flags = hygiene.graph_flags(graph.standing(graph.cues(nodes, 2026), edges, 2026), edges)
+    found = {tuple(r) for r in hygiene.retrieval_targets(queries, flags, hygiene.missing_ends(nodes, edges), threshold=1.0).collect()}
+    bridges = {(r["graph_id"], r["id"]) for r in flags.where("missing_bridge").collect()}
+    assert found == {(q, i) for q, g in (("q", "g"), ("s", "h")) for h, i in set(got) | bridges if h == g}

@@ -467,7 +467,7 @@ def test_stream_of_requests(spark, tmp_path):
 
 
 def scattered(spark, n=60):
-    """Nodes of two graphs, some ids twice, and edges among them of the types that rules look for."""
+    """Nodes of two graphs, some ids twice (with one title), and edges among them of the types that rules look for."""
     import random
 
     rng = random.Random(5)
@@ -475,6 +475,7 @@ def scattered(spark, n=60):
     for g in ("g", "h"):
         for i in range(n):
             title = rng.choice(["Refund Policy", "Refund Exception", "Policy Exception", "Vendor Access Rules", f"Lone Page {i}"])
+            title = title if i < n - 4 else next(t for h, k, t, *_ in names if (h, k) == (g, f"n{i % (n - 4):02}"))
             topics = rng.choice([[], ["refund"], ["Refund ", "policy"], ["policy", "refund", "audit"], [f"own {i}"]])
             kind = "community-summary" if rng.random() < 0.1 else "section"
             names.append((g, f"n{i % (n - 4):02}", title, topics, rng.choice(["", "c1", "c2", f"alone {i}"]), kind, rng.choice(["", "", f"n{(i + 1) % n:02}"])))
@@ -498,3 +499,33 @@ def test_missing_ends_without_pairs(spark):
     found = {tuple(r) for r in hygiene.retrieval_targets(queries, flags, hygiene.missing_ends(nodes, edges), threshold=1.0).collect()}
     bridges = {(r["graph_id"], r["id"]) for r in flags.where("missing_bridge").collect()}
     assert found == {(q, i) for q, g in (("q", "g"), ("s", "h")) for h, i in set(got) | bridges if h == g}
+
+
+def test_missing_edges_by_brute_force(spark):
+    """Every pair of rows that a rule names, ids that occur twice included; no pair meets the edges in a join."""
+    nodes, edges = scattered(spark)
+    rows = [(r, {t.strip().lower() for t in r["topics"]}, set(r["title"].lower().split())) for r in nodes.collect()]
+    have = {tuple(r) for r in edges.select("graph_id", "source_id", "target_id", "type").collect()}
+    want = []
+    for a, ta, wa in rows:
+        for b, tb, wb in rows:
+            g, s, t = a["graph_id"], a["id"], b["id"]
+            lacks = lambda kind, *ends: all((g, *e, kind) not in have for e in ends)  # noqa: E731, B023
+            if g != b["graph_id"]:
+                continue
+            mates = a["community_id"] == b["community_id"] != ""
+            if mates and s < t and ta and tb and len(ta & tb) / min(len(ta), len(tb)) >= 0.6 and lacks("same-question", (s, t), (t, s)):
+                want.append((g, s, t, "same-question"))
+            if s < t and len(wa & wb) / len(wa | wb) >= 0.88 and lacks("duplicate", (s, t), (t, s)):
+                want.append((g, s, t, "duplicate"))
+            if mates and s != t and b["chunk_type"] == "community-summary" and lacks("community-member-of", (s, t)):
+                want.append((g, s, t, "community-member-of"))
+            if s != t and "exception" in a["title"].lower() and "policy" in b["title"].lower() and lacks("exception-to", (s, t)):
+                want.append((g, s, t, "exception-to"))
+            if s != t and b["superseded_by"] == s and lacks("supersedes", (t, s)):
+                want.append((g, s, t, "supersedes"))
+    found = hygiene.missing_edges(nodes, edges)
+    got = sorted(tuple(r) for r in found.select("graph_id", "source_id", "target_id", "type").collect())
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1  # of superseded nodes
